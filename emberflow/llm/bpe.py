@@ -61,18 +61,20 @@ class Vocabulary:
             self.tokens[i] = text.encode()
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: by pair (left * size + right): rank * size + the token made
+        self.step: dict[int, int] = {}
+        self.none = 1 << 62
         self.left, self.right = np.arange(size), np.arange(size)
         #: when a token is made: rank of its merge plus one, 0 for bytes
         self.made = np.zeros(size, np.int64)
         for r, (a, b) in enumerate(pairs):
             i, j, k = vocab[a], vocab[b], vocab[a + b]
-            self.rank[i, j] = (r, k)
+            self.step[i * size + j] = r * size + k
             if self.left[k] == k:
                 self.left[k], self.right[k], self.made[k] = i, j, r + 1
-        keys = np.array([i * size + j for i, j in self.rank], np.int64)
+        keys = np.fromiter(self.step, np.int64, len(self.step))
         order = np.argsort(keys)
-        self.pair_keys, self.pair_made = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order] + 1
+        self.pair_keys, self.pair_made = keys[order], np.fromiter(self.step.values(), np.int64, len(keys))[order] // size + 1
         self.size = size
         # longest match: hashes of the tokens that merging can make, by hash, open for all lengths
         data = b"".join(self.tokens)
@@ -160,24 +162,19 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the adjacent pair of lowest rank, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = rank.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        get, size, none = self.step.get, self.size, self.none
+        steps = [get(a * size + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while steps:
+            best = min(steps)
+            if best == none:
                 break
-            pair, i, out = (ids[at], ids[at + 1]), 0, []
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = steps.index(best)
+            ids[i : i + 2] = (new := best % size,)
+            del steps[i]
+            if i:
+                steps[i - 1] = get(ids[i - 1] * size + new, none)
+            if i < len(steps):
+                steps[i] = get(new * size + ids[i + 1], none)
         return ids
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
