@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .shared import U64, ragged, slice_hashes, text_blocks
 
 #: Words that a worker remembers; the table is emptied beyond that.
-MEMO_WORDS = 1 << 20
-_SLOTS = 1 << 22
+MEMO_WORDS = 1 << 19
+_SLOT_BITS = 21
+#: Bytes of text that one pass over code points handles: it takes more room for each byte than other operators do.
+TEXT_BYTES = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -300,12 +302,11 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.slots, self.where = np.zeros(_SLOTS, U64), np.zeros(_SLOTS, np.int64)
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        self.slots, self.where = np.zeros(1 << _SLOT_BITS, U64), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.begin, self.length, self.ids = (np.zeros(0, np.int32) for _ in range(3))
 
     def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = (hashes >> U64(42)).astype(np.int64)
+        slot = (hashes >> U64(64 - _SLOT_BITS)).astype(np.int64)
         return self.where[slot], self.slots[slot] == hashes
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,10 +325,10 @@ class Memo:
             at = np.flatnonzero(~known)[at]
             ids, first = self.encode_words([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             base = len(self.begin)
-            self.begin = np.concatenate([self.begin, len(self.ids) + first[:-1]])
-            self.length = np.concatenate([self.length, np.diff(first)])
-            self.ids = np.concatenate([self.ids, ids])
-            slot = (fresh >> U64(42)).astype(np.int64)
+            self.begin = np.concatenate([self.begin, (len(self.ids) + first[:-1]).astype(np.int32)])
+            self.length = np.concatenate([self.length, np.diff(first).astype(np.int32)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            slot = (fresh >> U64(64 - _SLOT_BITS)).astype(np.int64)
             self.slots[slot], self.where[slot] = fresh, base + np.arange(len(fresh))
             # two new words of one slot: the later has it, the earlier is found by its place
             where[~known] = base + np.searchsorted(fresh, hashes[~known])
@@ -395,7 +396,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def work(batches):
         memo = memo_of(vocabulary(shared.value))
-        for batch, data, offs in text_blocks(batches):
+        for batch, data, offs in text_blocks(batches, limit=TEXT_BYTES):
             ids, first = memo.encode(data, offs)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
@@ -424,6 +425,26 @@ def decoded(table: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return table.mapInArrow(work, schema)
 
 
+def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): encoding and decoding by the same workers, which hold one vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(_read(path))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = dict(slim.dtypes)["doc_id"]
+
+    def work(batches):
+        vocab = vocabulary(shared.value)
+        memo = memo_of(vocab)
+        for batch, data, offs in text_blocks(batches, limit=TEXT_BYTES):
+            ids, first = memo.encode(data, offs)
+            back = vocab.decode(ids)
+            end = np.concatenate([[0], np.cumsum(vocab.length[ids])])[first].tolist()
+            texts = pa.array([back[a:b].decode("utf-8", "replace") for a, b in zip(end, end[1:], strict=False)], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, texts], names=["doc_id", "ids", "decoded"])
+
+    return slim.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded string")
+
+
 def round_trip_report(docs: DataFrame, path: str) -> DataFrame:
     """The digest columns of query op1: texts are encoded, their ids decoded, and both digested in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(_read(path))
@@ -436,7 +457,7 @@ def round_trip_report(docs: DataFrame, path: str) -> DataFrame:
         size = np.array([len(d) for d in digits])
         begin, letters = np.cumsum(size) - size, np.frombuffer(b"".join(digits), np.uint8)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch, data, offs in text_blocks(batches):
+        for batch, data, offs in text_blocks(batches, limit=TEXT_BYTES):
             ids, first = memo.encode(data, offs)
             listed = letters[ragged(begin[ids], size[ids])].tobytes()
             at = np.concatenate([[0], np.cumsum(size[ids])])[first].tolist()

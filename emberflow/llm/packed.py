@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Memo
+from .bpe import TEXT_BYTES, Memo
 from .shared import drop_staged, shared_folder, stage, text_blocks
 
 LIMIT = 18
@@ -167,7 +167,7 @@ def token_rows(docs: DataFrame, path: str, end: int = 0, doc_id: str = "doc_id",
 
     def work(batches):
         memo = _library_memo(shared.value)
-        for batch, data, offs in text_blocks(batches):
+        for batch, data, offs in text_blocks(batches, limit=TEXT_BYTES):
             ids, first = memo.encode(data, offs)
             sizes = np.diff(first) + 1
             flat = np.full(len(ids) + batch.num_rows, end, dtype)
