@@ -36,8 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, and the text that decoding them gives."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decoded(bpe.encoded(docs, path), path)
+    return bpe.tokenized(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
