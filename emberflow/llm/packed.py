@@ -8,7 +8,7 @@ Format.  A written folder holds two Parquet tables, so any store that Spark can
   (number of token ids of each), checkpoints (bit offset of every ``EVERY``-th id), bits (in total) and payload (the
   codes, first bit first).  A block decodes on its own.
 
-Encoding: one pass turns texts into ids and stages them sorted by document id, in ranges, each row with the ids before
+Encoding: documents are dealt out in ranges of their id and sorted; one pass turns texts into ids and stages them, each row with the ids before
 it in its range; counts are summed over all documents; the package-merge algorithm (Larmore and Hirschberg) gives the best lengths within ``LIMIT`` bits (the
 table is as large as the vocabulary, not the corpus); a second pass over the staged ids writes the blocks.
 
@@ -16,7 +16,7 @@ Decoding: the segments between checkpoints are decoded side by side, one id of e
 ``2 ** limit`` entries tells id and length from the next bits.
 
 Results for odd input: null and empty texts hold only the end id; null document ids come first, repeated ones in the
-order of their ids' bytes; an empty table gives empty files; further columns are ignored.
+order of their texts; an empty table gives empty files; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,8 +204,9 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end: int = 0, l
     kind = dict(docs.dtypes)["doc_id"]
     with open(path, encoding="utf-8") as f:
         dtype = id_type(f.read())
-    ids = token_rows(docs, path, end)
-    ranged = ids.repartitionByRange(parts, "doc_id") if parts else ids.repartitionByRange("doc_id")
+    # ranges are dealt out before encoding: finding their bounds reads the rows once more
+    ranged = docs.repartitionByRange(parts, "doc_id") if parts else docs.repartitionByRange("doc_id")
+    ids = token_rows(ranged.sortWithinPartitions("doc_id", "text"), path, end).withColumn("part", F.spark_partition_id())
 
     def running(batches):
         total = 0
@@ -216,8 +217,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end: int = 0, l
             total = int(ends[-1]) if len(n) else total
 
     # a row's place is stored, so that later passes don't depend on how files are dealt to tasks
-    ordered = ranged.sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
-    staged = stage(ordered.mapInArrow(running, f"doc_id {kind}, n long, ids binary, part int, before long"), "packed-ids")
+    staged = stage(ids.mapInArrow(running, f"doc_id {kind}, n long, ids binary, part int, before long"), "packed-ids")
 
     def count(batches):
         total = np.zeros(0, np.int64)
