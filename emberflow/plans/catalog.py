@@ -587,3 +587,303 @@ def _escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def escalation_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _escalation(spark, sf_dir)
     return e.select("cluster_id", r("threshold").alias("threshold"), "escalating", "already_critical", *[r(c, 4).alias(c) for c in ("hours_to_critical", "p05", "p25", "p75", "p95")], r("probability").alias("probability"))
+
+
+# --- hazard scores ---------------------------------------------------------------------------------
+
+_CLASS_ARRAY = "[" + ",".join(f"'{c}'" for c in C.CLASSES) + "]"
+_FACTS = _EXTENT + _BEST[_BEST.index(", cand"):] + _TRAJ + f"""
+, facts AS (SELECT s.*, CASE WHEN s.cluster_id % 7 <> 0 THEN {_CLASS_ARRAY}[s.cluster_id % 5 + 1] END AS predicted, spatial_extent_km, spatial_growth_rate, distance_m, facility_type, facility_id, rate_km_day, bearing,
+  CASE WHEN s.cluster_id % 4 <> 0 THEN CAST(s.cluster_id * 731 % 9000 AS DOUBLE) END AS built_m, CAST(s.cluster_id % 20 AS DOUBLE) AS people FROM sites s JOIN extents USING (cluster_id) LEFT JOIN best USING (cluster_id) JOIN traj USING (cluster_id))"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each cluster with what the hazard scores need; class, built-up distance and people are made up."""
+    d = views.detections(spark, sf_dir)
+    key = F.col("cluster_id")
+    predicted = F.when(key % 7 != 0, F.element_at(F.array(*map(F.lit, C.CLASSES)), (key % 5 + 1).cast("int")))
+    parts = (features.extent_and_growth(d), _nearest(_near(spark, sf_dir)), features.trajectory(d).select("cluster_id", "rate_km_day", "bearing"))
+    out = views.sites(d)
+    for part, how in zip(parts, ("inner", "left", "inner"), strict=True):
+        out = out.join(part, "cluster_id", how)
+    return out.withColumn("predicted", predicted).withColumn("built_m", F.when(key % 4 != 0, (key * 731 % 9000).cast("double"))).withColumn("people", (key % 20).cast("double"))
+
+
+_WUI = """
+, w0 AS (SELECT *, CASE WHEN greatest(rate_km_day, CASE WHEN spatial_growth_rate > 0 THEN spatial_growth_rate ELSE 0 END) <= 0 THEN NULL WHEN built_m <= 0 THEN 0 ELSE built_m/1000/greatest(rate_km_day, CASE WHEN spatial_growth_rate > 0 THEN spatial_growth_rate ELSE 0 END)*24 END AS eta FROM facts),
+w1 AS (SELECT *, CASE WHEN built_m IS NULL THEN 'MONITOR' WHEN built_m <= 2400 OR coalesce(eta BETWEEN 0 AND 12, false) THEN 'CRITICAL_AIR_TANKER_DISPATCH' WHEN built_m <= 7200 THEN 'WATCH' ELSE 'MONITOR' END AS raw FROM w0),
+wui AS (SELECT *, CASE WHEN raw = 'CRITICAL_AIR_TANKER_DISPATCH' AND NOT ((cluster_id % 3 = 0 OR people >= 8) AND cluster_id % 2 = 0) THEN 'WATCH' ELSE raw END AS priority FROM w1)"""
+
+
+def _wui(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir)
+    rate = F.greatest("rate_km_day", F.when(F.col("spatial_growth_rate") > 0, F.col("spatial_growth_rate")).otherwise(0.0))
+    f = f.withColumn("eta", scoring.hours_to_impact(F.col("built_m") / 1000, rate))
+    f = f.withColumn("raw", scoring.wui_priority(F.col("built_m"), F.col("eta")))
+    return f.withColumn("priority", scoring.gated_priority(F.col("raw"), F.col("cluster_id") % 3 == 0, scoring.populated(F.col("people")), F.col("cluster_id") % 2 == 0))
+
+
+@query(_FACTS + _WUI + " SELECT cluster_id, round(eta,4) AS eta_hours, raw AS raw_priority, priority FROM wui")
+def wui_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wui(spark, sf_dir).select("cluster_id", r("eta", 4).alias("eta_hours"), F.col("raw").alias("raw_priority"), "priority")
+
+
+_RDI = """
+, r0 AS (SELECT *, CASE WHEN spatial_extent_km > 0 THEN pi()*pow(spatial_extent_km/2,2)*100 ELSE 0 END AS ha FROM facts),
+r1 AS (SELECT *, round(least(CASE WHEN frp_max > 0 THEN least(frp_max/150*35,35) ELSE 0 END + CASE WHEN built_m/1000 <= 2.4 THEN 40 WHEN built_m/1000 <= 10 THEN 40-35*((built_m/1000-2.4)/7.6) ELSE 5 END + CASE WHEN ha > 0 THEN least(ha/500*25,25) ELSE 0 END,100),1) AS rdi FROM r0),
+rd AS (SELECT *, CASE WHEN rdi >= 80 THEN 'FULL_SUPPRESSION_AIR_TANKERS' WHEN rdi >= 50 THEN 'POINT_ZONE_PROTECTION' ELSE 'MONITOR_ECOLOGICAL_BENEFIT' END AS coa FROM r1)"""
+
+
+def _rdi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir).withColumn("ha", scoring.footprint_ha(F.col("spatial_extent_km")))
+    f = f.withColumn("rdi", scoring.rdi(F.col("frp_max"), F.col("built_m"), F.col("ha")))
+    return f.withColumn("coa", scoring.course_of_action(F.col("rdi")))
+
+
+@query(_FACTS + _RDI + " SELECT cluster_id, round(ha,4) AS area_ha, rdi AS rdi_score, coa AS coa_type FROM rd")
+def rdi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rdi(spark, sf_dir).select("cluster_id", r("ha", 4).alias("area_ha"), F.col("rdi").alias("rdi_score"), F.col("coa").alias("coa_type"))
+
+
+_TRIP = "CASE WHEN {v} > 0 THEN greatest(1, ceil({v}/{d})) ELSE 0 END"
+_SUPP = _RDI + """
+, s0 AS (SELECT *, coalesce(predicted,'') AS kind, greatest(ha, 14.0625) AS eha, CASE WHEN frp_max > 0 THEN least(1+frp_max/50,3) ELSE 1 END AS m FROM rd),
+s1 AS (SELECT *, coa = 'FULL_SUPPRESSION_AIR_TANKERS' OR frp_max >= 100 OR eha >= 50 AS air, eha*m*CASE kind WHEN 'industrial_fire' THEN 975000 WHEN 'gas_flare' THEN 500 WHEN 'wildfire' THEN 10000 ELSE 3000 END AS l, eha*m*5000 AS m3 FROM s0)"""
+
+
+@query(_FACTS + _SUPP + f"""
+SELECT cluster_id, CASE kind WHEN 'industrial_fire' THEN 'foam' WHEN 'gas_flare' THEN 'fuel_isolation' WHEN 'mining' THEN 'excavation_and_smothering' ELSE 'water' END AS resource_kind, round(eha,2) AS effective_ha, round(m,2) AS multiplier, air AS air_support,
+  CASE WHEN kind <> 'mining' THEN round(l,0) END AS volume_l, CASE WHEN kind = 'mining' THEN round(m3,0) END AS volume_m3, CAST(CASE WHEN kind = 'mining' THEN 0 ELSE {_TRIP.format(v='l', d=5000)} END AS BIGINT) AS tanker_trips,
+  CAST(CASE WHEN kind NOT IN ('industrial_fire','gas_flare','mining') AND air THEN {_TRIP.format(v='l', d=3000)} ELSE 0 END AS BIGINT) AS air_drops, CAST(CASE WHEN kind = 'mining' THEN {_TRIP.format(v='m3', d=10)} ELSE 0 END AS BIGINT) AS truck_loads,
+  CAST(CASE WHEN kind = 'gas_flare' THEN 1 ELSE 0 END AS INTEGER) AS well_control_units FROM s1""")
+def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _rdi(spark, sf_dir)
+    parts = scoring.suppression(F.col("predicted"), F.col("frp_max"), F.col("ha"), F.col("coa"), F.lit("VIIRS"))
+    return f.select("cluster_id", *[c.alias(n) for n, c in parts.items()])
+
+
+# --- labels, evidence, models ----------------------------------------------------------------------
+
+_CROP, _FOREST = "CAST(cluster_id * 17 % 101 AS DOUBLE)/100", "CAST(cluster_id * 29 % 101 AS DOUBLE)/100"
+_VOTES = _ALERTS + f"""
+, lf AS (SELECT f.*, {_CROP} AS crop, {_FOREST} AS forest, {_SPAN.replace('max(acq_datetime)', 'last_seen').replace('min(acq_datetime)', 'first_seen')} AS persist, a.cluster_id IS NOT NULL AS alerted, 73.8 + (f.cluster_id % 5) AS vlon, 29.5 + (f.cluster_id % 4) AS vlat FROM facts f LEFT JOIN alerted a USING (cluster_id)),
+vt AS (SELECT cluster_id, [
+  {{'c': CASE WHEN facility_type = 'flare' AND distance_m <= 500 THEN CASE WHEN persist >= 3 THEN 0.90 ELSE 0.60 END END, 'o': 0, 'l': 'gas_flare'}},
+  {{'c': CASE WHEN facility_type = 'mine' AND distance_m <= 500 AND persist >= 3 THEN 0.85 END, 'o': -1, 'l': 'mining'}},
+  {{'c': CASE WHEN vlon BETWEEN 73.8 AND 77.6 AND vlat BETWEEN 29.5 AND 32.6 AND month(last_seen + INTERVAL 90 DAY) IN (4,5,10,11) AND crop >= 0.6 AND NOT coalesce(persist > 50, false) AND NOT coalesce(distance_m <= 500, false) THEN 0.80 END, 'o': -2, 'l': 'agricultural_burning'}},
+  {{'c': CASE WHEN alerted THEN 0.92 WHEN forest >= 0.5 AND NOT coalesce(distance_m < 1000, false) THEN CASE WHEN spatial_growth_rate > 0.05 THEN 0.75 ELSE 0.60 END END, 'o': -3, 'l': 'wildfire'}},
+  {{'c': CASE WHEN facility_type IN ('refinery','industrial','power','oil_well','steel','LNG') AND distance_m <= 500 AND persist >= 14 THEN 0.85 END, 'o': -4, 'l': 'industrial_fire'}}] AS v FROM lf),
+vs AS (SELECT cluster_id, list_filter(v, lambda x: x.c IS NOT NULL) AS v FROM vt),
+vb AS (SELECT cluster_id, len(v) AS n_votes, list_sort(v, 'DESC')[1] AS best, v FROM vs),
+vr AS (SELECT *, list_max([x.c FOR x IN v IF x.l <> best.l]) AS rival FROM vb)"""
+
+
+def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir).join(_alerted(spark, sf_dir).withColumn("alerted", F.lit(True)), "cluster_id", "left")
+    key = F.col("cluster_id")
+    persist = (F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 8.64e10
+    # the fixture's month and place are moved into the rule's season and belt, and its span is shortened for that rule
+    short = F.when(persist > 50, persist).otherwise(F.least(persist, F.lit(5.0)))
+    args = (key % 5 + 73.8, key % 4 + 29.5, F.col("last_seen") + F.expr("interval 90 days"), F.col("facility_type"), F.col("distance_m"))
+    rest = ((key * 17 % 101).cast("double") / 100, (key * 29 % 101).cast("double") / 100, F.col("spatial_growth_rate"), F.col("alerted"))
+    long_votes = scoring.votes(*args, persist, F.lit(None).cast("double"), *rest)
+    agri = F.filter(scoring.votes(*args, short, F.lit(None).cast("double"), *rest), lambda v: v["label"] == "agricultural_burning")
+    return f.withColumn("votes", F.concat(F.filter(long_votes, lambda v: v["label"] != "agricultural_burning"), agri))
+
+
+@query(_FACTS + _VOTES + " SELECT cluster_id, CAST(n_votes AS INTEGER) AS n_votes, best.l AS top_label, round(CAST(best.c AS DOUBLE),2) AS top_confidence FROM vr")
+def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voted(spark, sf_dir).withColumn("best", F.array_max("votes"))
+    return v.select("cluster_id", F.size("votes").alias("n_votes"), F.col("best.label").alias("top_label"), r("best.confidence", 2).alias("top_confidence"))
+
+
+@query(_FACTS + _VOTES + " SELECT cluster_id, CASE WHEN n_votes > 0 AND NOT coalesce(CAST(best.c AS DOUBLE) - CAST(rival AS DOUBLE) < 0.1, false) THEN best.l END AS label, n_votes > 0 AND coalesce(CAST(best.c AS DOUBLE) - CAST(rival AS DOUBLE) < 0.1, false) AS ambiguous FROM vr")
+def resolve_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voted(spark, sf_dir).withColumn("won", scoring.resolved(F.col("votes")))
+    return v.select("cluster_id", F.col("won.label").alias("label"), ((F.size("votes") > 0) & F.col("won").isNull()).alias("ambiguous"))
+
+
+@query("""
+, tl AS (SELECT floor(lon/0.5) AS tx, floor(lat/0.5) AS ty, count(*) AS n, min(md5(concat(CAST(floor(lon/0.5) AS BIGINT), ':', CAST(floor(lat/0.5) AS BIGINT), ':42'))) AS h FROM sites GROUP BY 1, 2),
+cu AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY h) AS pos, count(*) OVER () AS tiles, sum(n) OVER () AS total FROM tl)
+SELECT CAST(tx AS BIGINT) AS tile_x, CAST(ty AS BIGINT) AS tile_y, n, before < greatest(1, round(total*0.2)) AND pos < tiles AS is_test FROM cu""")
+def spatial_tile_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tiles of half a degree held out, in the order of a seeded hash, until a fifth of the rows is reached.
+
+    The running total is over one row for each tile, of which there are at most as many as tiles on earth.
+    """
+    s = views.sites(views.detections(spark, sf_dir))
+    tiles = s.groupBy(geo.cell(F.col("lon"), 0.5).alias("tile_x"), geo.cell(F.col("lat"), 0.5).alias("tile_y")).agg(F.count("*").alias("n"))
+    tiles = tiles.withColumn("h", F.md5(F.concat_ws(":", "tile_x", "tile_y", F.lit("42")).cast("binary")))
+    w = Window.orderBy("h")
+    every = Window.partitionBy()
+    t = tiles.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("pos", F.row_number().over(w)).withColumn("tiles", F.count("*").over(every)).withColumn("total", F.sum("n").over(every))
+    return t.select("tile_x", "tile_y", "n", ((F.col("before") < F.greatest(F.lit(1.0), F.round(F.col("total") * 0.2))) & (F.col("pos") < F.col("tiles"))).alias("is_test"))
+
+
+@query("""
+, cw AS (SELECT source AS label, count(*) AS n FROM detections GROUP BY 1), rw AS (SELECT *, sum(n) OVER ()/(count(*) OVER ()*n) AS raw FROM cw)
+SELECT label, n, round(raw/avg(raw) OVER (),6) AS weight FROM rw""")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse frequencies, scaled to a mean of 1: one row for each class."""
+    c = views.detections(spark, sf_dir).groupBy(F.col("source").alias("label")).agg(F.count("*").alias("n"))
+    every = Window.partitionBy()
+    raw = c.withColumn("raw", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
+    return raw.select("label", "n", r(F.col("raw") / F.avg("raw").over(every)).alias("weight"))
+
+
+@query("""
+, ev AS (SELECT cluster_id, cluster_id % 2 = 0 AS context, true AS thermal, cluster_id % 3 <> 0 AS temporal, true AS spatial, cluster_id % 5 = 0 AS imagery, cluster_id % 4 <> 1 AS rhythm FROM sites),
+wt AS (SELECT *, 0.25 + 0.10 + CASE WHEN context THEN 0.30 ELSE 0 END + CASE WHEN temporal THEN 0.20 ELSE 0 END + CASE WHEN imagery THEN 0.10 ELSE 0 END + CASE WHEN rhythm THEN 0.05 ELSE 0 END AS w FROM ev)
+SELECT cluster_id, context, imagery, rhythm, round(CAST(w AS DOUBLE),4) AS available_weight, round(0.5+0.5*CAST(w AS DOUBLE),4) AS multiplier FROM wt""")
+def evidence_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("cluster_id")
+    present = {"context": key % 2 == 0, "thermal": F.lit(True), "temporal": key % 3 != 0, "spatial": F.lit(True), "imagery": key % 5 == 0, "rhythm": key % 4 != 1}
+    # one real value in a group is enough; NaN is none
+    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", *[F.when(present[g], 1.5).otherwise(F.lit(float("nan"))).alias(c) for c, g in C.FEATURES.items()])
+    found = {g: scoring.group_present([F.col(c) for c, own in C.FEATURES.items() if own == g]) for g in C.GROUP_WEIGHTS}
+    weight, multiplier = scoring.evidence_multiplier(found)
+    return s.select("cluster_id", *[found[g].alias(g) for g in ("context", "imagery", "rhythm")], r(weight, 4).alias("available_weight"), r(multiplier, 4).alias("multiplier"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: exp(CAST(x AS DOUBLE))) AS a, list_transform(embedding[6:10], lambda x: exp(CAST(x AS DOUBLE))) AS i FROM embeddings),
+n AS (SELECT vec_id, list_transform(a, lambda x: x/list_sum(a)) AS p, CASE WHEN vec_id % 3 <> 0 THEN list_transform(i, lambda x: x/list_sum(i)) END AS q FROM e),
+f AS (SELECT vec_id, q IS NOT NULL AS has_image, CASE WHEN q IS NULL THEN p ELSE [0.7*p[1]+0.3*q[1], 0.7*p[2]+0.3*q[2], 0.7*p[3]+0.3*q[3], 0.7*p[4]+0.3*q[4], 0.7*p[5]+0.3*q[5]] END AS z FROM n)
+SELECT vec_id, has_image, """ + _CLASS_ARRAY + """[list_position(z, list_max(z))] AS top_class, round(list_max(z)*0.9*100,2) AS confidence FROM f""", ctes=False)
+def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabular and image probabilities (from slices of the embeddings) fused 0.7 to 0.3, where there is an image."""
+    e = views.table(spark, sf_dir, "embeddings")
+    dist = lambda at: F.map_from_arrays(F.array(*map(F.lit, C.CLASSES)), F.transform(F.slice("embedding", at, 5), lambda x: F.exp(x.cast("double"))))
+    p = e.select("vec_id", scoring.aligned(dist(1)).alias("p"), F.when(F.col("vec_id") % 3 != 0, scoring.aligned(dist(6))).alias("q"))
+    z = p.select("vec_id", F.col("q").isNotNull().alias("has_image"), scoring.fused(F.col("p"), F.col("q")).alias("z"))
+    return z.select("vec_id", "has_image", scoring.top_class(F.col("z")).alias("top_class"), scoring.confidence_score(F.col("z"), F.lit(0.9)).alias("confidence"))
+
+
+# --- grids and images ------------------------------------------------------------------------------
+
+_GRID_CODE = "CASE (gx*7 + gy*13) % 8 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 40 WHEN 3 THEN 50 WHEN 4 THEN 60 WHEN 5 THEN 80 WHEN 6 THEN 90 ELSE 95 END"
+_GRID = f"""
+, ctr AS (SELECT cluster_id, CAST(floor(lon/0.01) AS BIGINT) AS cx, CAST(floor(lat/0.01) AS BIGINT) AS cy FROM sites),
+cells AS (SELECT cluster_id, gx, gy, {_GRID_CODE} AS code, CASE WHEN (gx*31+gy*17) % 5 = 0 THEN -1.0 ELSE CAST((gx*31+gy*17) % 40 AS DOUBLE) END AS people FROM (SELECT cluster_id, cx + dx AS gx, cy + dy AS gy FROM ctr, (SELECT unnest(range(-2,3)) AS dx), (SELECT unnest(range(-2,3)) AS dy)))"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 x 5 grid cells around each cluster, joined with a raster kept as a table of cells."""
+    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", geo.cell(F.col("lon"), 0.01).alias("cx"), geo.cell(F.col("lat"), 0.01).alias("cy"))
+    step = F.sequence(F.lit(-2), F.lit(2))
+    wanted = s.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("cluster_id", (F.col("cx") + F.col("dx")).alias("gx"), (F.col("cy") + F.col("dy")).alias("gy"))
+    codes = F.array(*map(F.lit, (10, 20, 40, 50, 60, 80, 90, 95)))
+    h = F.col("gx") * 31 + F.col("gy") * 17
+    raster = wanted.select("gx", "gy").distinct().select("gx", "gy", F.element_at(codes, ((F.col("gx") * 7 + F.col("gy") * 13) % 8 + 1).cast("int")).alias("code"), F.when(h % 5 == 0, -1.0).otherwise((h % 40).cast("double")).alias("people"))
+    return wanted.join(raster, ["gx", "gy"])
+
+
+_SHARES = {"pct_cropland": (40,), "pct_forest": (10, 95), "pct_urban": (50,), "pct_water": (80, 90), "pct_barren": (60, 20, 30)}
+
+
+@query(_GRID + " SELECT cluster_id, " + ", ".join(f"round(avg(CASE WHEN code IN {(*v, -1)} THEN 1.0 ELSE 0.0 END),6) AS {k}" for k, v in _SHARES.items()) + " FROM cells GROUP BY 1")
+def landcover_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).groupBy("cluster_id").agg(*[r(F.avg(F.when(F.col("code").isin(*v), 1.0).otherwise(0.0))).alias(k) for k, v in _SHARES.items()])
+
+
+@query(_GRID + " SELECT cluster_id, CAST(round(sum(CASE WHEN people > 0 THEN people ELSE 0 END)) AS BIGINT) AS population FROM cells GROUP BY 1")
+def zonal_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive cells summed; negative ones are the raster's sentinel."""
+    return _cells(spark, sf_dir).groupBy("cluster_id").agg(F.round(F.sum(F.when(F.col("people") > 0, F.col("people")).otherwise(0.0))).cast("long").alias("population"))
+
+
+_PIX = """
+WITH px AS (SELECT vec_id, i, abs(CAST(embedding[i] AS DOUBLE)) AS blue, abs(CAST(embedding[i+12] AS DOUBLE)) AS green, abs(CAST(embedding[i+24] AS DOUBLE)) AS red, abs(CAST(embedding[i+36] AS DOUBLE)) AS nir, abs(CAST(embedding[i+48] AS DOUBLE)) AS swir FROM embeddings, (SELECT unnest(range(1,13)) AS i)),
+ix AS (SELECT vec_id, i, CASE WHEN abs(nir+red) > 1e-4 THEN (nir-red)/(nir+red) ELSE 0 END AS ndvi, CASE WHEN abs(swir+nir) > 1e-4 THEN (swir-nir)/(swir+nir) ELSE 0 END AS ndbi, CASE WHEN blue > 1e-4 THEN red/blue ELSE 0 END AS rb, (blue+green+red)/3 AS bright, swir FROM px)"""
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of five bands, cut from the embeddings and made positive, with their indices - all array functions."""
+    e = views.table(spark, sf_dir, "embeddings")
+    band = lambda k: F.transform(F.slice("embedding", 1 + 12 * k, 12), lambda x: F.abs(x.cast("double")))
+    p = e.select("vec_id", F.arrays_zip(*[band(k).alias(n) for k, n in enumerate(("blue", "green", "red", "nir", "swir"))]).alias("px"))
+    diff = lambda a, b: F.when(F.abs(a + b) > 1e-4, (a - b) / (a + b)).otherwise(0.0)
+    pixel = lambda x: F.struct(diff(x["nir"], x["red"]).alias("ndvi"), diff(x["swir"], x["nir"]).alias("ndbi"), F.when(x["blue"] > 1e-4, x["red"] / x["blue"]).otherwise(0.0).alias("rb"), ((x["blue"] + x["green"] + x["red"]) / 3).alias("bright"), x["swir"].alias("swir"))
+    return p.select("vec_id", F.transform("px", pixel).alias("px"))
+
+
+@query(_PIX + " SELECT vec_id, round(avg(ndvi),5) AS ndvi, round(avg(ndbi),5) AS ndbi, round(avg(rb),4) AS red_blue FROM ix GROUP BY 1", ctes=False)
+def spectral_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = lambda f: F.aggregate("px", F.lit(0.0), lambda a, x: a + x[f]) / F.size("px")
+    return _bands(spark, sf_dir).select("vec_id", r(mean("ndvi"), 5).alias("ndvi"), r(mean("ndbi"), 5).alias("ndbi"), r(mean("rb"), 4).alias("red_blue"))
+
+
+@query(_PIX + """, m AS (SELECT vec_id, (i-1) % 4 AS c, (i-1) // 4 AS w, bright > 0.12 AND rb < 1.0 AND swir < 0.25 AND ndvi < 0.35 AS s FROM ix),
+g AS (SELECT vec_id, avg(CASE WHEN s THEN 1.0 ELSE 0.0 END) AS coverage, count(CASE WHEN s THEN 1 END) AS n, avg(CASE WHEN s THEN c END) AS x, avg(CASE WHEN s THEN w END) AS y FROM m GROUP BY 1)
+SELECT vec_id, round(coverage,6) AS coverage, round(CASE WHEN n >= 2 AND pow(x-1.5,2)+pow(y-1.0,2) >= 0.25 THEN ((degrees(atan2(x-1.5, -(y-1.0))) % 360) + 360) % 360 END,4) AS bearing FROM g""", ctes=False)
+def smoke_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoke pixels of the (4 x 3) patches and the bearing from the centre to their middle; rows run south."""
+    smoky = lambda x: (x["bright"] > 0.12) & (x["rb"] < 1.0) & (x["swir"] < 0.25) & (x["ndvi"] < 0.35)
+    at = F.filter(F.transform("px", lambda x, i: F.when(smoky(x), i)), lambda i: i.isNotNull())
+    b = _bands(spark, sf_dir).select("vec_id", F.size("px").alias("size"), at.alias("at"))
+    mean = lambda f: F.aggregate("at", F.lit(0.0), lambda a, i: a + f(i)) / F.size("at")
+    x, y = mean(lambda i: i % 4) - 1.5, mean(lambda i: F.floor(i / 4)) - 1.0
+    found = F.when((F.size("at") >= 2), F.when(x * x + y * y >= 0.25, F.pmod(F.degrees(F.atan2(x, -y)), F.lit(360.0))))
+    return b.select("vec_id", r(F.size("at") / F.col("size")).alias("coverage"), r(found, 4).alias("bearing"))
+
+
+# --- read queries ----------------------------------------------------------------------------------
+
+_DASH = _FACTS + _RHYTHM[_RHYTHM.index(", spn"):] + _PTSI[_PTSI.index(", lasts"):] + _RING + """
+, sens AS (SELECT cluster_id, arg_max(source,(acq_datetime,id)) AS source, avg(confidence) AS confidence FROM detections GROUP BY 1),
+dash AS (SELECT f.cluster_id, f.last_seen, state, predicted, f.facility_type, f.frp_max, f.brightness_max, f.n_detections, source, confidence, p.source_class, coalesce(NOT p.normal, false) AS active,
+  f.cluster_id % 6 = 0 AS escalating FROM facts f JOIN inside USING (cluster_id) JOIN ptsi p USING (cluster_id) JOIN sens USING (cluster_id) WHERE f.last_seen >= (SELECT max(last_seen) FROM facts) - INTERVAL 3 DAY)"""
+_RISK = "round_even(least(least(frp_max/100,1)*55 + greatest(0,least((brightness_max-295)/65,1))*30 + CASE WHEN predicted='industrial_fire' THEN 10 ELSE 0 END + CASE WHEN escalating THEN 5 ELSE 0 END,100),0)"
+
+
+@query(_DASH + f"""
+SELECT cluster_id, last_seen, state, predicted, CASE WHEN predicted='agricultural_burning' THEN 'agri' WHEN predicted='mining' THEN 'coal' WHEN predicted='gas_flare' THEN 'petroleum' WHEN facility_type IN ('refinery','oil_well','flare','LNG') THEN 'petroleum' WHEN facility_type='mine' THEN 'coal' ELSE 'industrial' END AS type,
+  CASE WHEN contains(source,'VIIRS') THEN 'VIIRS' WHEN contains(source,'MODIS') THEN 'MODIS' ELSE 'SENTINEL' END AS sensor, CASE WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'NOMINAL' ELSE 'LOW' END AS band,
+  CASE WHEN escalating OR active THEN 'Active' WHEN source_class='persistent' THEN 'Verified' ELSE 'Under Control' END AS status, CAST({_RISK} AS INTEGER) AS risk, n_detections FROM dash ORDER BY last_seen DESC, cluster_id LIMIT 500""")
+def dashboard_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship read: recent clusters inside the country, newest first, with everything the page shows."""
+    d = views.detections(spark, sf_dir)
+    f = _facts(spark, sf_dir)
+    newest = f.agg(F.max("last_seen").alias("newest"))
+    recent = f.crossJoin(F.broadcast(newest)).where(F.col("last_seen") >= F.col("newest") - F.expr("interval 3 days"))  # one row
+    inside = point_in_polygon_admin(spark, sf_dir).where("state is not null")
+    latest = d.groupBy("cluster_id").agg(F.max_by("source", F.struct("acq_datetime", "id")).alias("source"), F.avg("confidence").alias("confidence"))
+    page = recent.join(inside, "cluster_id").join(_ptsi(spark, sf_dir).select("cluster_id", "source_class", "normal"), "cluster_id").join(latest, "cluster_id")
+    rising = F.col("cluster_id") % 6 == 0
+    return page.select(
+        "cluster_id", "last_seen", "state", "predicted", detection.display_type(F.col("predicted"), F.col("facility_type")).alias("type"), detection.sensor_family(F.col("source")).alias("sensor"), detection.confidence_band(F.col("confidence")).alias("band"),
+        detection.status(detection.is_active(rising, F.col("normal")), F.lit("active"), F.col("source_class")).alias("status"), detection.risk_score(F.col("frp_max"), F.col("brightness_max"), F.col("predicted"), rising).alias("risk"), "n_detections",
+    ).orderBy(F.desc("last_seen"), "cluster_id").limit(500)
+
+
+@query(_FACTS + _WUI + """
+, feed AS (SELECT cluster_id, 'wui' AS kind, 0 AS priority, eta AS key FROM wui WHERE priority <> 'MONITOR' UNION ALL SELECT cluster_id, 'escalation', 1, CAST(cluster_id % 50 AS DOUBLE) FROM facts WHERE cluster_id % 6 = 0)
+SELECT cluster_id, kind, priority, round(key,4) AS hours FROM feed ORDER BY priority, key NULLS LAST, cluster_id LIMIT 40""")
+def alerts_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settlements under threat first, then escalating sources; soonest first within each."""
+    w = _wui(spark, sf_dir)
+    near = w.where(F.col("priority") != C.MONITOR).select("cluster_id", F.lit("wui").alias("kind"), F.lit(0).alias("priority"), F.col("eta").alias("key"))
+    rising = w.where("cluster_id % 6 = 0").select("cluster_id", F.lit("escalation").alias("kind"), F.lit(1).alias("priority"), (F.col("cluster_id") % 50).cast("double").alias("key"))
+    return near.unionByName(rising).orderBy("priority", F.asc_nulls_last("key"), "cluster_id").limit(40).select("cluster_id", "kind", "priority", r("key", 4).alias("hours"))
+
+
+@query(_FRESH + " SELECT cluster_id, label, CAST(cluster_id % 50 AS DOUBLE) AS hours FROM fresh WHERE cluster_id % 2 = 0 AND label IN ('FRESH','MODERATE') ORDER BY hours NULLS LAST, cluster_id LIMIT 50")
+def escalating_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _freshness(views.detections(spark, sf_dir)).where("cluster_id % 2 = 0").where(F.col("label").isin("FRESH", "MODERATE"))
+    return f.select("cluster_id", "label", (F.col("cluster_id") % 50).cast("double").alias("hours")).orderBy(F.asc_nulls_last("hours"), "cluster_id").limit(50)
+
+
+@query("SELECT count(DISTINCT cluster_id) AS clusters, count(*) AS hotspots, (SELECT count(*) FROM facilities) AS facilities, count(DISTINCT CASE WHEN cluster_id % 7 <> 0 THEN cluster_id END) AS classified, count(DISTINCT CASE WHEN cluster_id % 6 = 0 THEN cluster_id END) AS escalating FROM detections")
+def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.detections(spark, sf_dir)
+    one = lambda c: F.count_distinct(F.when(c, F.col("cluster_id")))
+    left = d.agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("hotspots"), one(F.col("cluster_id") % 7 != 0).alias("classified"), one(F.col("cluster_id") % 6 == 0).alias("escalating"))
+    return left.crossJoin(views.facilities(spark, sf_dir).agg(F.count("*").alias("facilities"))).select("clusters", "hotspots", "facilities", "classified", "escalating")  # one row each
+
+
+@query("SELECT cluster_id, last_seen FROM sites WHERE cluster_id % 7 = 0")
+def unprocessed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters without a classification: an anti-join, newest first."""
+    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", "last_seen")
+    return s.join(s.where("cluster_id % 7 <> 0").select("cluster_id"), "cluster_id", "left_anti").orderBy(F.desc_nulls_last("last_seen"), "cluster_id")
