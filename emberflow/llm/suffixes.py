@@ -42,9 +42,10 @@ RUN_BYTES = 24 << 20
 RANGE_BYTES = 12 << 20
 
 
-def _key(text: str):
-    """128 bits that stand for a text."""
-    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+def _keys(doc_id: str, text: str) -> list:
+    """rid stands for a text and pick for one of its copies: both follow from a row's content, so that they are the same
+    whenever and however often it is read (two texts share a rid with a probability of 2 ** -64)."""
+    return [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.xxhash64(F.col(doc_id)).alias("pick")]
 
 
 # --- which suffixes --------------------------------------------------------------------------------
@@ -81,7 +82,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
 
 
 def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rid, place in the text, gram hash, its first bytes as an ordered number)."""
+    """(rid, pick, place in the text, gram hash, its first bytes as an ordered number)."""
 
     def scan(batches):
         for batch, data, offs in text_blocks(batches):
@@ -90,10 +91,10 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
             head = np.zeros(len(at), U64)
             for j in range(8):
                 head = (head << U64(8)) | data[np.minimum(at + j, len(data) - 1)].astype(U64) if len(at) else head
-            rid = batch.column("rid").to_numpy()[row]
-            yield pa.RecordBatch.from_pydict({"rid": rid, "at": at - offs[row], "gram": hashes.view(np.int64), "head": (head ^ U64(1 << 63)).view(np.int64)})
+            rid, pick = (batch.column(c).to_numpy()[row] for c in ("rid", "pick"))
+            yield pa.RecordBatch.from_pydict({"rid": rid, "pick": pick, "at": at - offs[row], "gram": hashes.view(np.int64), "head": (head ^ U64(1 << 63)).view(np.int64)})
 
-    return docs.select("rid", "text").mapInArrow(scan, "rid long, at long, gram long, head long")
+    return docs.select("rid", "pick", "text").mapInArrow(scan, "rid long, pick long, at long, gram long, head long")
 
 
 # --- runs ------------------------------------------------------------------------------------------
@@ -321,13 +322,14 @@ def _merge_ranges(length: int, gram: int):
 
 
 def _covered(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, spans, times) of the texts that hold repeated strings or occur several times.  rows: rid, key, text."""
-    classes = rows.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("times"), F.first(F.octet_length("text")).alias("size"))
+    """(rid, spans) of the texts that hold repeated strings or occur several times.  rows: rid, pick, text."""
+    classes = rows.groupBy("rid").agg(F.min("pick").alias("pick"), F.count("*").alias("times"), F.first(F.octet_length("text")).alias("size"))
     classes = stage(classes.where(F.col("size") >= length), "suffix-classes")
-    whole = classes.where("times > 1").select("key", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").cast("long").alias("hi"))).alias("spans"))
+    whole = classes.where("times > 1").select("rid", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").cast("long").alias("hi"))).alias("spans"))
     # anchors of one copy of each text; only grams that occur again go on
-    every = stage(_anchor_table(rows, length, gram).join(classes.select("rid"), "rid", "left_semi"), "suffix-anchors")
-    again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    every = stage(_anchor_table(rows, length, gram).join(classes.select("rid", "pick"), ["rid", "pick"], "left_semi").drop("pick"), "suffix-anchors")
+    # staged, so that the join below sees a plain exchange, whose hot grams Spark can split
+    again = stage(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
     places = stage(every.join(again, "gram", "left_semi").select("rid", "at", "head"), "suffix-places")
     total = places.count()
     if not total:
@@ -335,12 +337,12 @@ def _covered(rows: DataFrame, length: int, gram: int) -> DataFrame:
     parts = int(1 + total * (2 * length - gram) // RANGE_BYTES)
     splitters = places.select(F.percentile_approx("head", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()[0] if parts > 1 else []
     listed = places.groupBy("rid").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    runs = rows.select("rid", "text").join(listed.hint("shuffle_hash"), "rid").mapInArrow(_runs(sorted(set(splitters)), length, gram), _RUN)
+    once = rows.join(listed.join(classes.select("rid", "pick"), "rid").hint("shuffle_hash"), ["rid", "pick"]).select("rid", "text", "places")
+    runs = once.mapInArrow(_runs(sorted(set(splitters)), length, gram), _RUN)
     shuffled = runs.repartitionByRange(parts, "part").sortWithinPartitions("part") if parts > 1 else runs.coalesce(1)
     found = shuffled.mapInArrow(_merge_ranges(length, gram), "rid long, lo long, hi long")
     spans = found.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    single = classes.where("times = 1").select("rid", "key")
-    out = spans.join(single, "rid").select("key", "spans").unionByName(whole)
+    out = spans.join(classes.where("times = 1").select("rid"), "rid", "left_semi").unionByName(whole)
     return stage(out, "suffix-spans")
 
 
@@ -363,9 +365,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """docs' id and text with ``spans``: sorted, possibly overlapping stretches (lo, hi) of repeated bytes, or null."""
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", _key("text"))
-    covered = _covered(slim.select("key", "text").withColumn("rid", F.monotonically_increasing_id()), length, gram)
-    return slim.join(covered, "key", "left").drop("key")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *_keys(doc_id, text))
+    return slim.join(_covered(slim.drop("doc_id"), length, gram), "rid", "left").drop("rid", "pick")
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -392,15 +393,14 @@ def _batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents with repeated strings cut out of their text; those of which nothing is left go.
 
-    Where a cut would fall inside a character, the rest of that character goes as well.
+    Where a cut would fall inside a character, the rest of that character goes as well.  A column n_chars follows the text.
     """
-    slim = docs.withColumn("_key", _key(text))
-    keyed = slim.select(F.col("_key").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    covered = _covered(keyed, length, gram).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans")
-    joined = slim.join(covered, "_key", "left").drop("_key")
+    slim = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *_keys(doc_id, text))
+    covered = _covered(slim, length, gram).withColumnRenamed("rid", "_rid").withColumnRenamed("spans", "_spans")
+    joined = docs.withColumn("_rid", _keys(doc_id, text)[0]).join(covered, "_rid", "left").drop("_rid")
     names = docs.columns
 
     def cut(batches):
@@ -417,7 +417,11 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
                 columns = [pa.array(values, block.schema.field(text).type) if c == text else block.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(alive))
 
-    return joined.mapInArrow(cut, docs.schema)
+    out = joined.mapInArrow(cut, docs.schema)
+    if "n_chars" not in names:
+        return out
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(kind)).select(*names)
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
