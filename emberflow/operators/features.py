@@ -24,14 +24,17 @@ def thermal(points: DataFrame) -> DataFrame:
 def extent_and_growth(points: DataFrame) -> DataFrame:
     """Largest distance between detections, and its growth from the first half of a cluster's rows to all, a day.
 
-    Detections of one place count once, so the pairs grow with the places of a cluster and not with its detections.
+    On a parallel the distance to any point grows with the difference in longitude, so of the detections at one latitude
+    only the westernmost and the easternmost can be part of the largest distance: pairs are made of these alone.
     """
     w = Window.partitionBy("cluster_id")
     ordered = points.withColumn("rn", F.row_number().over(w.orderBy("acq_datetime", "id"))).withColumn("n", F.count("*").over(w))
-    places = ordered.groupBy("cluster_id", "lon", "lat").agg(F.min(F.col("rn")).alias("rn"), F.first("n").alias("n"))
     early = F.col("rn") <= F.floor(F.col("n") / 2)
-    a = places.select("cluster_id", "lon", "lat", early.alias("early"))
-    b = places.select("cluster_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), early.alias("early2"))
+    first = F.when(early, F.col("lon"))
+    rows = ordered.groupBy("cluster_id", "lat").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min(first).alias("fw"), F.max(first).alias("fe"))
+    ends = F.array(*[F.struct(F.col(c).alias("lon"), F.lit(c.startswith("f")).alias("early")) for c in ("w", "e", "fw", "fe")])
+    a = rows.select("cluster_id", "lat", F.explode(F.array_distinct(F.filter(ends, lambda p: p["lon"].isNotNull()))).alias("p")).select("cluster_id", F.col("p.lon").alias("lon"), "lat", F.col("p.early").alias("early"))
+    b = a.select("cluster_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("early").alias("early2"))
     pair = a.join(b, "cluster_id").where((F.col("lon") < F.col("lon2")) | ((F.col("lon") == F.col("lon2")) & (F.col("lat") < F.col("lat2"))))
     km = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")) / 1000.0
     wide = pair.groupBy("cluster_id").agg(F.max(km).alias("extent"), F.max(F.when(F.col("early") & F.col("early2"), km)).alias("early_extent"))
