@@ -106,3 +106,18 @@ AMBIGUITY_MARGIN = 0.10
 
 # Land cover codes
 WORLDCOVER = {"forest": (10, 95), "cropland": (40,), "urban": (50,), "bare": (60,), "water": (80,)}
+
+# Emissions: hazard and main substances by facility type; looked up in lower case, so "LNG" falls through to the class
+EMISSIONS = {
+    "refinery": ("high", "SO2,H2S,VOC,benzene,particulates"),
+    "flare": ("moderate", "CO2,CO,NOx,unburnt hydrocarbons,soot"),
+    "oil_well": ("high", "CH4,H2S,VOC,condensate aerosol"),
+    "LNG": ("high", "CH4,cryogenic vapour cloud"),
+    "power": ("moderate", "SO2,NOx,fly ash,particulates,CO"),
+    "steel": ("moderate", "CO,particulates,metal oxides,SO2"),
+    "mine": ("moderate", "CO,particulates,coal smoke,SO2"),
+    "industrial": ("moderate", "particulates,CO,VOC"),
+}
+CLASS_EMISSIONS = {"wildfire": ("moderate", "PM2.5,CO,VOC,NOx"), "agricultural_burning": ("moderate", "PM2.5,CO,CH4,NH3")}
+UNKNOWN_EMISSIONS = ("unknown", "particulates,CO")
+SETTLEMENT_EXCESS_M, SAME_SITE_EXCESS_M = 1500.0, 400.0

@@ -214,3 +214,20 @@ def top_class(p: Column) -> Column:
 
 def confidence_score(p: Column, multiplier: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.array_max(p) * multiplier)) * 100.0, 2)
+
+
+def emissions(kind: Column, predicted: Column) -> tuple[Column, Column]:
+    """(hazard, substances) by facility type, else by class, else unknown."""
+    industrial = F.lower(predicted).isin("industrial_fire", "gas_flare", "mining")
+
+    def part(i: int) -> Column:
+        by_type = lookup(F.lower(kind), {k: v[i] for k, v in C.EMISSIONS.items()})
+        by_class = lookup(F.lower(predicted), {k: v[i] for k, v in C.CLASS_EMISSIONS.items()})
+        return F.coalesce(by_type, by_class, F.when(industrial, C.EMISSIONS["industrial"][i]), F.lit(C.UNKNOWN_EMISSIONS[i]))
+
+    return part(0), part(1)
+
+
+def same_site(candidate_m: Column, matched_m: Column, excess_m: float) -> Column:
+    """Whether a named feature is near enough to what was measured to lend its name."""
+    return F.coalesce(candidate_m <= matched_m + excess_m, F.lit(False))

@@ -887,3 +887,109 @@ def unprocessed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters without a classification: an anti-join, newest first."""
     s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", "last_seen")
     return s.join(s.where("cluster_id % 7 <> 0").select("cluster_id"), "cluster_id", "left_anti").orderBy(F.desc_nulls_last("last_seen"), "cluster_id")
+
+
+# --- further reads and decisions -------------------------------------------------------------------
+
+
+
+def _emission_sql(i: int) -> str:
+    by_type = " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in C.EMISSIONS.items() if k == k.lower())
+    by_class = " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in C.CLASS_EMISSIONS.items())
+    return f"coalesce(CASE lower(facility_type) {by_type} END, CASE predicted {by_class} WHEN 'industrial_fire' THEN '{C.EMISSIONS['industrial'][i]}' WHEN 'gas_flare' THEN '{C.EMISSIONS['industrial'][i]}' WHEN 'mining' THEN '{C.EMISSIONS['industrial'][i]}' END, '{C.UNKNOWN_EMISSIONS[i]}')"
+
+
+@query(_FACTS + f" SELECT cluster_id, {_emission_sql(0)} AS hazard, {_emission_sql(1)} AS substances FROM facts")
+def chemical_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir)
+    hazard, substances = scoring.emissions(F.col("facility_type"), F.col("predicted"))
+    return f.select("cluster_id", hazard.alias("hazard"), substances.alias("substances"))
+
+
+@query("""
+, ts AS (SELECT cluster_id, last_seen, row_number() OVER (ORDER BY last_seen DESC, cluster_id DESC) AS back, count(*) OVER () AS n FROM sites)
+SELECT cluster_id, back <= greatest(1, CAST(round_even(n*0.2, 0) AS BIGINT)) AS is_test FROM ts""")
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most recent fifth of the clusters is held out: a threshold found by a top-k, not one sorted partition."""
+    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", "last_seen")
+    key = F.struct("last_seen", "cluster_id")
+    share = F.percentile_approx(F.unix_micros("last_seen"), F.lit(0.7), F.lit(100)).alias("near")
+    size = s.agg(F.count("*").alias("n"), share)  # one row
+    both = s.crossJoin(F.broadcast(size)).withColumn("key", key)
+    # only rows near the cut are ranked; those above it are counted
+    top = both.where(F.unix_micros("last_seen") >= F.col("near")).withColumn("back", F.row_number().over(Window.partitionBy("near").orderBy(F.desc("key"))))
+    held = top.where(F.col("back") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.2, 0).cast("long"))).select("cluster_id", F.lit(True).alias("is_test"))
+    return s.select("cluster_id").join(held, "cluster_id", "left").select("cluster_id", F.coalesce("is_test", F.lit(False)).alias("is_test"))
+
+
+@query("SELECT cluster_id, last_seen, n_detections FROM sites WHERE n_detections > 100 ORDER BY last_seen DESC, cluster_id LIMIT 500")
+def list_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.sites(views.detections(spark, sf_dir)).where("n_detections > 100")
+    return s.orderBy(F.desc_nulls_first("last_seen"), "cluster_id").limit(500).select("cluster_id", "last_seen", "n_detections")
+
+
+@query("SELECT facility_id, name, facility_type FROM facilities WHERE facility_type = 'steel' ORDER BY facility_id LIMIT 1000")
+def list_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.facilities(spark, sf_dir).where("facility_type = 'steel'").orderBy("facility_id").limit(1000).select("facility_id", "name", "facility_type")
+
+
+@query("""
+, vd AS (SELECT cluster_id, CASE WHEN cluster_id % 7 <> 0 THEN last_seen - to_hours(CAST(cluster_id * 13 % 97 AS INTEGER)) END AS judged FROM sites)
+SELECT cluster_id, judged FROM vd ORDER BY judged NULLS FIRST, cluster_id LIMIT 40""")
+def reclassify_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to judge next: never judged first, then the oldest verdict."""
+    s = views.sites(views.detections(spark, sf_dir))
+    verdicts = s.where("cluster_id % 7 <> 0").select("cluster_id", F.timestamp_micros(F.unix_micros("last_seen") - F.col("cluster_id") * 13 % 97 * 3_600_000_000).alias("judged"))
+    return s.select("cluster_id").join(verdicts, "cluster_id", "left").orderBy(F.asc_nulls_first("judged"), "cluster_id").limit(40)
+
+
+@query("""
+, ck AS (SELECT CASE id % 3 WHEN 0 THEN 'cloud' WHEN 1 THEN 'wind' ELSE 'landcover' END || format('|{:.2f}|{:.2f}', lon, lat) AS key FROM detections)
+SELECT split_part(key,'|',1) AS namespace, count(DISTINCT key) AS n FROM ck GROUP BY 1""")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.detections(spark, sf_dir)
+    key = F.coalesce(*[F.when(F.col("id") % 3 == i, detection.cache_key(n, F.col("lon"), F.col("lat"))) for i, n in enumerate(("cloud", "wind", "landcover"))])
+    return d.select(key.alias("key")).groupBy(F.substring_index("key", "|", 1).alias("namespace")).agg(F.count_distinct("key").alias("n"))
+
+
+@query("""
+SELECT CAST(floor(lon/2) AS BIGINT) AS tile_x, CAST(floor(lat/2) AS BIGINT) AS tile_y, count(*) AS n FROM sites GROUP BY 1, 2 ORDER BY n DESC, tile_x, tile_y""")
+def tiles_by_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of two degrees in the order in which to load map data: most clusters first."""
+    s = views.sites(views.detections(spark, sf_dir))
+    return s.groupBy(geo.cell(F.col("lon"), 2.0).alias("tile_x"), geo.cell(F.col("lat"), 2.0).alias("tile_y")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tile_x", "tile_y")
+
+
+@query(_FACTS + """
+SELECT cluster_id, coalesce(built_m + 700 <= built_m + 1500, false) AS settlement_matches, coalesce(distance_m + 500 <= distance_m + 400, false) AS same_site,
+  CASE WHEN regexp_matches('Cluster ' || cluster_id, '^cluster \\d+', 'i') AND cluster_id % 2 = 0 THEN NULL ELSE coalesce(facility_type, 'none') END AS display_name FROM facts""")
+def name_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether names found nearby may stand for what was measured, and names that aren't shown."""
+    f = _facts(spark, sf_dir)
+    name = F.when(F.col("cluster_id") % 2 == 0, F.concat(F.lit("Cluster "), F.col("cluster_id"))).otherwise(F.coalesce("facility_type", F.lit("none")))
+    return f.select(
+        "cluster_id", scoring.same_site(F.col("built_m") + 700, F.col("built_m"), C.SETTLEMENT_EXCESS_M).alias("settlement_matches"), scoring.same_site(F.col("distance_m") + 500, F.col("distance_m"), C.SAME_SITE_EXCESS_M).alias("same_site"),
+        F.when(~name.rlike(r"(?i)^cluster \d+"), name).alias("display_name"),
+    )
+
+
+@query(_FACTS + """
+SELECT cluster_id, round(CASE WHEN spatial_extent_km <= 0 THEN 1000 ELSE greatest(500, least(20000, spatial_extent_km*750)) END,3) AS buffer_m, round(greatest(2000, least(10000, spatial_extent_km*750)),3) AS patch_halfwidth_m,
+  format('{}{:02d}{}{:03d}', CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END, CAST(floor(lat/3)*3 AS INTEGER), CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END, CAST(floor(lon/3)*3 AS INTEGER)) AS tile FROM facts""")
+def sampling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far around a cluster land cover and images are sampled, and from which tile."""
+    f = _facts(spark, sf_dir)
+    return f.select("cluster_id", r(geo.buffer_m(F.col("spatial_extent_km")), 3).alias("buffer_m"), r(geo.halfwidth_m(F.col("spatial_extent_km")), 3).alias("patch_halfwidth_m"), geo.tile_name(F.col("lon"), F.col("lat")).alias("tile"))
+
+
+@query(_FACTS + """
+, feats AS (SELECT f.cluster_id, frp_max, spatial_extent_km, CASE WHEN f.cluster_id % 2 = 0 THEN distance_m END AS new_d, CASE WHEN f.cluster_id % 3 = 0 THEN 1.0 ELSE 99.0 END AS old_d FROM facts f)
+SELECT cluster_id, frp_max, round(coalesce(new_d, CAST(old_d AS DOUBLE)),4) AS facility_distance_m FROM feats""")
+def upsert_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage writes only its own columns, and only what it knows."""
+    from ..operators import state
+
+    f = _facts(spark, sf_dir)
+    stored = f.select("cluster_id", "frp_max", F.when(F.col("cluster_id") % 3 == 0, 1.0).otherwise(99.0).alias("facility_distance_m"))
+    batch = f.select("cluster_id", F.when(F.col("cluster_id") % 2 == 0, F.col("distance_m")).alias("facility_distance_m"))
+    return state.upsert(stored, batch, "cluster_id", ["facility_distance_m"]).select("cluster_id", "frp_max", r("facility_distance_m", 4).alias("facility_distance_m"))
