@@ -230,12 +230,15 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(minima(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # staged, so that the join sees a plain exchange on either side, whose hot nodes Spark can split
+        least = stage(minima(both), name)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = minima(down)
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         last, now = now, stage(small, name)
         drop_staged(last)
+        drop_staged(least)
         before, seen = seen, signature(now)
         if before == seen:
             break
