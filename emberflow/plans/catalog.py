@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import detection, geo, physics, scoring
+from ..functions import detection, geo, physics, scoring, text
 from ..operators import features, ingest, temporal
 from ..sources import views
 
@@ -993,3 +993,26 @@ def upsert_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = f.select("cluster_id", "frp_max", F.when(F.col("cluster_id") % 3 == 0, 1.0).otherwise(99.0).alias("facility_distance_m"))
     batch = f.select("cluster_id", F.when(F.col("cluster_id") % 2 == 0, F.col("distance_m")).alias("facility_distance_m"))
     return state.upsert(stored, batch, "cluster_id", ["facility_distance_m"]).select("cluster_id", "frp_max", r("facility_distance_m", 4).alias("facility_distance_m"))
+
+
+@query(_PTSI + """
+SELECT p.cluster_id, CASE source_class WHEN 'persistent' THEN format('Established persistent source, active across {:.0f} days', span_days) WHEN 'intermittent' THEN format('Intermittent source, seen on and off across {:.0f} days', span_days) ELSE format('Transient event, only {:.1f} days of history', span_days) END ||
+  CASE WHEN normal IS NULL THEN '. No baseline yet, so normal behaviour is unknown.' WHEN normal THEN '. Currently within its normal range.' ELSE '. Currently ' || concat_ws(', ', CASE WHEN multiple > 0 THEN format('{:.1f}x its normal output', multiple) END, format('{:+.1f} sigma from its baseline', sigma)) || ' — potentially abnormal.' END AS summary
+FROM ptsi p JOIN mr USING (cluster_id)""")
+def ptsi_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = temporal.slots(views.detections(spark, sf_dir)).groupBy("cluster_id").agg(F.first("span_days").alias("days"))
+    p = _ptsi(spark, sf_dir).join(days, "cluster_id")
+    return p.select("cluster_id", text.ptsi_summary(F.col("source_class"), F.col("days"), F.col("multiple"), F.col("sigma"), F.col("normal")).alias("summary"))
+
+
+@query(_FACTS + _SUPP + f"""
+, sm AS (SELECT *, CAST(CASE WHEN kind = 'mining' THEN 0 ELSE {_TRIP.format(v='l', d=5000)} END AS BIGINT) AS tt, CAST(CASE WHEN kind = 'mining' THEN {_TRIP.format(v='m3', d=10)} ELSE 0 END AS BIGINT) AS tl, CAST(CASE WHEN kind NOT IN ('industrial_fire','gas_flare','mining') AND air THEN {_TRIP.format(v='l', d=3000)} ELSE 0 END AS BIGINT) AS dr FROM s1)
+SELECT cluster_id, concat_ws(chr(10), 'EMERGENCY ALERT', 'Location: ' || coalesce(CASE WHEN cluster_id % 2 = 0 THEN facility_type END, 'Location pending confirmation'), format('Coordinates: {{:.5f}}, {{:.5f}}', round(lat,4), round(lon,4)),
+  'Water Required: ' || CASE WHEN kind <> 'mining' THEN format('{{:,}} L', CAST(round(l,0) AS BIGINT)) ELSE format('Not applicable ({{:,}} m3)', CAST(round(m3,0) AS BIGINT)) END, 'Fire Truck Trips: ' || coalesce(CAST(coalesce(nullif(tt,0), nullif(tl,0)) AS VARCHAR), 'Not available'),
+  'Ground Support: ' || CASE WHEN coalesce(nullif(tt,0), nullif(tl,0)) IS NOT NULL THEN 'Required' ELSE 'Not Required' END, 'Air Support: ' || CASE WHEN air THEN 'Required' ELSE 'Not Required' END, CASE WHEN air AND dr > 0 THEN 'Aerial Tanks: ' || dr END, 'Web Page: https://example.org/' || cluster_id, 'Respond immediately.') AS body FROM sm""")
+def sms_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _rdi(spark, sf_dir)
+    s = scoring.suppression(F.col("predicted"), F.col("frp_max"), F.col("ha"), F.col("coa"), F.lit("VIIRS"))
+    place = F.when(F.col("cluster_id") % 2 == 0, F.col("facility_type"))
+    body = text.sms_body(place, r("lon", 4), r("lat", 4), s["volume_l"], s["volume_m3"], s["tanker_trips"], s["truck_loads"], s["air_support"], s["air_drops"], F.concat(F.lit("https://example.org/"), F.col("cluster_id")))
+    return f.select("cluster_id", body.alias("body"))
