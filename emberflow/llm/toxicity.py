@@ -13,7 +13,7 @@ their features are gathered on the driver, so its memory does not depend on the
 Scoring covers every document with one pass and no shuffle.
 
 Results for odd input: null, empty and wordless texts have no features and get the grade of the thresholds alone; null
-labels don't train; several labels for an id all train; without two different grades the model predicts the only
+labels don't train; different labels for an id all train, with its first text in order; without two different grades the model predicts the only
 one there is (0 if none); repeated rows are scored row by row; further columns are ignored.
 """
 
@@ -154,10 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TR
     graded = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"))
     # the bound on rows makes this side small enough to broadcast
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    chosen = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id")
+    labelled = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    # ids may repeat among documents: one text of each keeps the bound
+    chosen = labelled.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def extract(batches):
-        for batch, data, offs in text_blocks(batches, text):
+        for batch, data, offs in text_blocks(batches):
             index, begin = features(data, offs)
             lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(index.astype(np.int32)))
             sketch = pa.array([x.tobytes() for x in _sketches(data, offs)], pa.binary())
@@ -165,8 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TR
 
     kind = dict(docs.dtypes)["doc_id"]
     got = chosen.mapInArrow(extract, f"doc_id {kind}, label int, words array<int>, sketch binary").toArrow()
-    # ids may repeat among documents: the bound holds for what is used, in an order that does not depend on tasks
-    got = got.append_column("size", pc.list_value_length(got["words"])).sort_by([("doc_id", "ascending"), ("label", "ascending"), ("size", "ascending")]).slice(0, 2 * rows)
+    # in an order that does not depend on tasks
+    got = got.append_column("size", pc.list_value_length(got["words"])).sort_by([("doc_id", "ascending"), ("label", "ascending")])
     once = _one_of_each_copy(np.frombuffer(b"".join(got["sketch"].to_pylist()), U64).reshape(-1, SKETCH))
     got = got.filter(pa.array(once))
     words, size = got["words"].combine_chunks(), got["size"].to_numpy()
