@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import U64, ragged, slice_hashes, text_blocks
 
 #: Words that a worker remembers; the table is emptied beyond that.
-MEMO_WORDS = 1 << 19
-_SLOT_BITS = 21
+MEMO_WORDS = 1 << 20
+_SLOT_BITS = 22
 #: Bytes of text that one pass over code points handles: it takes more room for each byte than other operators do.
 TEXT_BYTES = 1 << 19
 
