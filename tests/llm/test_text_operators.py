@@ -159,6 +159,17 @@ def test_passages(spark):
     assert passages.shared_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("sizes", "between"), [((60, 60), 31), ((60, 60), 60), ((60, 60), 115), ((100, 40), 50)])
+def test_passages_of_a_pair_are_judged_one_by_one(spark, sizes, between):
+    rng = random.Random(between)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = (text(n) for n in sizes)
+    rows = [(i, " ".join(text(30) + one + text(between + 3 * i) + two + text(30))) for i in range(2)]
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    assert sorted(r.n_match for r in got) == sorted(sizes)
+    assert all(r.similarity == 1 for r in got)
+
+
 def test_chains_against_all_orders():
     rng = random.Random(6)
     for _ in range(50):
