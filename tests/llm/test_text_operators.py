@@ -170,6 +170,29 @@ def test_passages_of_a_pair_are_judged_one_by_one(spark, sizes, between):
     assert all(r.similarity == 1 for r in got)
 
 
+def test_passages_meet_though_smaller_texts_hold_parts(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    rows = [(i, " ".join(text(20) + passage + text(20))) for i in range(2)]
+    # many texts hold a line of it, each less than a passage: most ids come before those of both
+    rows += [(10 + i, " ".join(text(20) + passage[i % 4 * 15 : i % 4 * 15 + 20] + text(20))) for i in range(28)]
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    assert {frozenset((r.doc_id, r.partner_id)) for r in got} == {frozenset((0, 1))}
+    assert max(r.n_match for r in got) == 60
+
+
+def test_passages_at_a_later_place_of_the_partner(spark):
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    lines = [w for i in range(0, 60, 15) for w in text(20) + passage[i : i + 20]]
+    rows = [(i, " ".join(lines + text(20) + passage + text(20))) for i in range(2)] + [(2, " ".join(text(20) + passage + text(20)))]
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    whole = {frozenset((r.doc_id, r.partner_id)) for r in got if r.n_match >= 60}
+    assert {frozenset((0, 1)), frozenset((0, 2)), frozenset((1, 2))} <= whole
+
+
 def test_chains_against_all_orders():
     rng = random.Random(6)
     for _ in range(50):
