@@ -193,6 +193,21 @@ def test_passages_at_a_later_place_of_the_partner(spark):
     assert {frozenset((0, 1)), frozenset((0, 2)), frozenset((1, 2))} <= whole
 
 
+def test_passages_with_a_fifth_of_the_words_changed(spark):
+    rng = random.Random(14)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 80, 2):
+        passage = text(41)
+        copy = list(passage)
+        # half of them evenly: no run of more than four words is left
+        for at in range(4, 41, 5) if i % 4 else rng.sample(range(1, 40), 8):
+            copy[at] = "zz"
+        rows += [(i, " ".join(text(30) + passage + text(30))), (i + 1, " ".join(text(30) + copy + text(30)))]
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    assert {min(r.doc_id, r.partner_id) for r in got if abs(r.doc_id - r.partner_id) == 1} == set(range(0, 80, 2))
+
+
 def test_chains_against_all_orders():
     rng = random.Random(6)
     for _ in range(50):
