@@ -6,6 +6,7 @@ Floating results are rounded in both engines, as their trigonometric functions d
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -365,9 +366,23 @@ def _corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CORR + " SELECT cluster_id, facility_id, round(distance_km,4) AS distance_km, round(eta,3) AS eta_hours FROM threatened")
 def corridor_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facilities inside each cluster's threat wedge; wedges reach 50 km at most, which bounds the cells to look at."""
-    corridors = _corridors(spark, sf_dir).where("length_km <= 50")
-    near = ingest.within_radius(corridors, views.facilities(spark, sf_dir), 50_000.0)
+    return _threatened(_corridors(spark, sf_dir), views.facilities(spark, sf_dir))
+
+
+#: Upper lengths of corridors (km) that are joined together, with cells of that size.
+_LENGTH_CLASSES = (50, 100, 200, 400, 800, 1600, 3200)
+
+
+def _threatened(corridors: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Facilities inside each wedge: one grid join for each class of lengths, wedges beyond the last meet all."""
+    classes = []
+    for above, to in zip((0, *_LENGTH_CLASSES), _LENGTH_CLASSES, strict=False):
+        some = corridors.where((F.col("length_km") > above) & (F.col("length_km") <= to))
+        classes.append(ingest.within_radius(some, facilities, to * 1000.0))
+    rest = corridors.where(F.col("length_km") > _LENGTH_CLASSES[-1])
+    distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
+    classes.append(rest.crossJoin(facilities).withColumn("distance_m", distance))
+    near = reduce(DataFrame.unionByName, classes)
     km = F.col("distance_m") / 1000.0
     off = geo.angular_difference(geo.bearing_deg(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat")), F.col("bearing"))
     hit = near.where((km <= F.col("length_km")) & (off <= F.col("half_angle")))

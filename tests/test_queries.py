@@ -65,3 +65,15 @@ def test_flagship_reads_only_what_it_needs(spark):
     plan = catalog.QUERIES["thermal_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     schema = plan[plan.index("ReadSchema") :]
     assert "CartesianProduct" not in plan and "event_type" in schema
+
+
+def test_corridors_of_any_length(spark):
+    """Wedges of 40 to 6,000 km with a facility just inside and one just outside of each."""
+    lengths = [40.0, 50.0, 60.0, 150.0, 390.0, 1000.0, 3000.0, 6000.0]
+    degree = 6371.0 * 3.141592653589793 / 180
+    corridors = [(i, float(i), -20.0, 0.0, x / 3, 1.0, x) for i, x in enumerate(lengths)]
+    facilities = [(10 * i + far, float(i), -20.0 + x * (0.99, 1.01)[far] / degree) for i, x in enumerate(lengths) for far in (0, 1)]
+    wedges = spark.createDataFrame(corridors, "cluster_id long, lon double, lat double, bearing double, rate_km_day double, half_angle double, length_km double")
+    got = catalog._threatened(wedges, spark.createDataFrame(facilities, "facility_id long, f_lon double, f_lat double")).collect()
+    assert {(i, 10 * i) for i in range(len(lengths))} <= {(r.cluster_id, r.facility_id) for r in got}
+    assert all((r.cluster_id, r.facility_id) != (i, 10 * i + 1) for r in got for i in range(len(lengths)))
