@@ -54,14 +54,25 @@ def grid_pairs(left: DataFrame, right: DataFrame, size_lon: float, size_lat: flo
 def within_radius(points: DataFrame, facilities: DataFrame, radius_m: float, max_lat: float = 60.0) -> DataFrame:
     """Pairs of points (lon, lat) and facilities (f_lon, f_lat) within ``radius_m``, with distance_m.
 
-    Cells are as wide as the radius at ``max_lat``; points beyond that latitude need a larger one.
+    Cells are as wide as the radius at ``max_lat`` and go round the globe.  A facility is copied to all cells that its
+    own latitude's circle reaches, which are more than three beyond ``max_lat`` and all of a row near a pole.
     """
     import math
 
     lat = radius_m / 111_000.0
-    pairs = grid_pairs(points, facilities, lat / math.cos(math.radians(max_lat)), lat, ("lon", "lat"), ("f_lon", "f_lat"))
+    n = max(1, math.floor(360.0 * math.cos(math.radians(max_lat)) / lat))
+    width = 360.0 / n
+    r = radius_m / 6_371_000.0 * (1 + 1e-9)
+    polar = F.radians(F.abs(F.col("f_lat"))) + r >= math.pi / 2
+    reach = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(r, math.pi / 2)) / F.cos(F.radians("f_lat"))))) + 1e-9)
+    column = lambda x: F.floor((x + 180.0) / width)
+    first, last = column(F.col("f_lon") - reach), column(F.col("f_lon") + reach)
+    cells = F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.pmod(c, F.lit(n)))
+    near = facilities.withColumn("_cx", F.explode(cells)).withColumn("_dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    near = near.withColumn("_cy", geo.cell(F.col("f_lat"), lat) + F.col("_dy")).drop("_dy")
+    at = points.withColumn("_cx", F.pmod(column(F.col("lon")), F.lit(n))).withColumn("_cy", geo.cell(F.col("lat"), lat))
     distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
-    return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
+    return at.join(near, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
 
 
 def eps_edges(points: DataFrame, eps: float) -> DataFrame:

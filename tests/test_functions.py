@@ -1,6 +1,7 @@
 """Column functions against known values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,18 @@ def test_short_series(spark):
     got = temporal.kalman(df).collect()
     assert [(r.cluster_id, r.frp, r.rate, r.n_updates) for r in got] == [(1, 10.0, 0.0, 1)]
     assert temporal.walk_forward(df).count() == 0
+
+
+@pytest.mark.parametrize("radius_m", [5_000.0, 3_200_000.0])
+def test_within_radius_at_any_latitude(spark, radius_m):
+    rng = random.Random(17)
+    rows = []
+    for lat in (0.0, 59.9, 65.0, -75.0, 89.0, 89.99, -89.99):
+        for base in (0.05, 179.99, -179.99):
+            rows += [(len(rows) + k, max(-180.0, min(180.0, base + rng.uniform(-0.3, 0.3))), max(-90.0, min(90.0, lat + rng.uniform(-0.04, 0.04)))) for k in range(10)]
+    points = spark.createDataFrame(rows, "a long, lon double, lat double")
+    other = spark.createDataFrame(rows, "b long, f_lon double, f_lat double")
+    got = [(r.a, r.b) for r in ingest.within_radius(points, other, radius_m).select("a", "b").collect()]
+    distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
+    want = {(r.a, r.b) for r in points.crossJoin(other).where(distance <= radius_m).select("a", "b").collect()}
+    assert len(got) == len(set(got)) and set(got) == want
