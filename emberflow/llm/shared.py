@@ -7,11 +7,12 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at once; bounds a Python worker's memory.
@@ -25,14 +26,17 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 # --- staging ---------------------------------------------------------------------------------------
 
 _own_folder: str | None = None
+_open: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and Spark is local."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="emberflow-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
@@ -44,16 +48,51 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged = path
+    for own in _open:
+        own.append(table)
+    return table
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a table written by :func:`stage` once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        parent = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        parent.getFileSystem(conf).delete(parent, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`stage`.  Only for those whose readers have all been staged themselves: a lost
+    shuffle would be computed again from them."""
+    for df in tables:
+        path = getattr(df, "_staged", None)
+        if path is not None:
+            df._staged = None
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects what is staged inside: drop_staged(*held) frees it when the results have been written."""
+    held: list[DataFrame] = []
+    _open.append(held)
+    try:
+        yield held
+    finally:
+        _open.remove(held)
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as ``docs`` has columns that Spark takes for the same."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns by their names as they are, dots included."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 # --- Arrow text ------------------------------------------------------------------------------------

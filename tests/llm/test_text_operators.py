@@ -85,7 +85,7 @@ def test_suffix_dedup(spark, monkeypatch):
     rng = random.Random(5)
     base = ["".join(rng.choices("ab é", k=rng.randint(0, 120))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(base)[: rng.randint(1, 120)] for _ in range(rng.randint(0, 4)))) for i in range(60)] + ODD
-    got = sorted(tuple(r)[1:] for r in suffixes.removal_report(frame(spark, rows), length=20, gram=6).collect())
+    got = sorted(tuple(r)[1:5] for r in suffixes.removal_report(frame(spark, rows), length=20, gram=6).collect())
     assert got == sorted(suffixes.brute_force([t for _, t in rows], 20))
     assert suffixes.removal_report(frame(spark, rows).limit(0), length=20, gram=6).count() == 0
     cut = suffixes.without_repeats(frame(spark, rows), length=20, gram=6)
