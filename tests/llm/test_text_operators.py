@@ -270,3 +270,39 @@ def test_components(spark):
         root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_passages_against_all_pairs(spark, monkeypatch):
+    """Links by every diagonal of every pair: texts whose common passages have changed words only and end in equal ones."""
+    monkeypatch.setattr(passages, "PART_BYTES", 2000)
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    shared = [text(rng.choice([36, 41, 60, 90])) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        words = text(rng.randint(0, 30))
+        for p in rng.sample(shared, rng.randint(0, 2)):
+            words += [f"x{rng.randrange(10**6)}" if rng.random() < 0.06 else w for w in p] + text(rng.randint(0, 40))
+        rows.append((i, " ".join(words)))
+    wanted = set()
+    for i, (_, one) in enumerate(rows):
+        for j in range(i):
+            a, b = one.split(), rows[j][1].split()
+            for shift in range(-len(b), len(a)):
+                same = np.array([a[x] == b[x - shift] for x in range(max(0, shift), min(len(a), len(b) + shift))], int)
+                total = np.concatenate([[0], np.cumsum(same)])
+                x, y = np.triu_indices(len(total), 40)
+                if len(x) and ((total[y] - total[x] >= 0.8 * (y - x)) & (same[np.minimum(x, len(same) - 1)] == 1) & (same[y - 1] == 1)).any():
+                    wanted.add((j, i))
+                    break
+    got = {tuple(sorted((r.doc_id, r.partner_id))) for r in passages.shared_passages(frame(spark, rows)).collect()}
+    assert wanted
+    assert got == wanted
+
+
+def test_passages_of_repeated_rows_come_once(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(["a", *words])), (3, " ".join([*words, "mid", *words]))]
+    got = [tuple(r) for r in passages.shared_passages(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got))
+    assert {frozenset(x[:2]) for x in got} == {frozenset(x) for x in ((1, 2), (1, 3), (2, 3))}
