@@ -10,9 +10,11 @@ then are all its words compared.
 Benchmark windows are held in memory by every task, so their size is checked: items are dealt into as many groups as
 keep each below ``group_bytes`` of text, and the documents are scanned once for each group.
 
-Results for odd input: null or empty text and text without words have no words and no hits; null or empty items match
-nothing; repeated items are all reported; repeated documents are judged one by one; an empty benchmark hits nothing;
-columns besides the id and the text are ignored.
+Results for odd input: null or empty text and text without words have no words and no hits; null or empty items, and
+items without an id, match nothing; repeated items are all reported, those of one id once; repeated documents are judged
+one by one; very long texts are handled alone, whole; of equally rare shingles the smaller hash is the prefix, which no
+result depends on; an empty table gives an empty result, an empty benchmark hits nothing; columns besides the id and the
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, mix, ragged, run_hashes, text_blocks, word_hashes
+from .shared import U64, map_whole, mix, ragged, run_hashes, text_blocks, word_hashes
 
 WINDOW = 10
 SHINGLE = 2
@@ -178,9 +180,9 @@ def _occurrences(batches, text: str, index: dict) -> Iterator[tuple]:
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per document: n_words, the hit runs of words (begin, end), n_hit and the sorted ids of the items that occur."""
     found = []
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("key"))
     kind = dict(slim.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_words long, begins array<long>, ends array<long>, items array<string>"
+    schema = f"key long, doc_id {kind}, n_words long, begins array<long>, ends array<long>, items array<string>"
     for index in _indexes(slim, "text", items, item_id, item_text, window, shingle, group_bytes):
 
         def scan(batches, shared=index):
@@ -198,12 +200,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                 for r in np.unique(row):
                     own = np.concatenate([[0], hit[first[r] : first[r + 1]].astype(np.int8), [0]])
                     begins[r], ends[r] = np.flatnonzero(np.diff(own) == 1).tolist(), np.flatnonzero(np.diff(own) == -1).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "begins", "ends", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(np.diff(first)), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["key", "doc_id", "n_words", "begins", "ends", "items"])
 
         found.append(slim.mapInArrow(scan, schema))
-    out = found[0]
-    if len(found) > 1:
-        out = _merge(found)
+    out = _merge(found) if len(found) > 1 else found[0].drop("key")
     n_hit = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.withColumn("n_hit", n_hit)
 
@@ -211,13 +211,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def _merge(found: list[DataFrame]) -> DataFrame:
     """Rows of several groups of items: the runs of a document are united and the item lists joined.
 
-    Ids may repeat, so the place of a row in its own scan stands for the document.
+    A row's id and text stand for it, so that the result doesn't depend on how rows are dealt; equal rows come as often
+    as they are there.
     """
     every = None
     for f in found:
-        f = f.withColumn("row", F.monotonically_increasing_id())
         every = f if every is None else every.unionByName(f)
-    runs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends"))))
+    runs = F.array_sort(F.flatten(F.collect_set(F.arrays_zip("begins", "ends"))))
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
     joined = lambda acc, x: F.struct(last(acc)["begins"].alias("begins"), F.greatest(last(acc)["ends"], x["ends"]).alias("ends"))
     merged = F.aggregate(
@@ -225,8 +225,10 @@ def _merge(found: list[DataFrame]) -> DataFrame:
         F.expr("cast(array() as array<struct<begins:bigint,ends:bigint>>)"),
         lambda acc, x: F.when(last(acc)["ends"] >= x["begins"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined(acc, x)))).otherwise(F.concat(acc, F.array(x))),
     )
-    once = every.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return once.select("doc_id", "n_words", F.col("runs.begins").alias("begins"), F.col("runs.ends").alias("ends"), "items")
+    times = (F.count("*") / len(found)).cast("int").alias("times")
+    # equal rows of one scan give equal runs and items: their union is that of one of them
+    once = every.groupBy("key", "doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), times)
+    return once.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc_id", "n_words", F.col("runs.begins").alias("begins"), F.col("runs.ends").alias("ends"), "items")
 
 
 def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -245,7 +247,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_
                 clean[np.searchsorted(first, begin, "right") - 1] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = map_whole(out, keep, docs.schema)
     return out
 
 

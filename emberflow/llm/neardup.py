@@ -15,7 +15,8 @@
 
 Results for odd input: null, empty and blank texts have no shingles and link with nothing, not even each other; fewer
 words than ``width`` make one shingle; rows with a null or repeated id are judged by their text; ties go to the smallest
-id; an empty table gives an empty result; further columns are ignored.
+id; very long texts are handled alone, whole, and make a block of a cell of their own; an empty table gives an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, components, mix, ragged, row_shingles, stage, text_blocks, word_hashes
+from .shared import U64, columns_of, components, drop_staged, mix, ragged, row_shingles, scratch, stage, text_blocks, unused, word_hashes
 
 WIDTH = 4
 THRESHOLD = 80
@@ -162,30 +163,33 @@ def _cell_links(size_limit: int, reach: int, threshold: int):
 
 def _classes(rows: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(marks of all rows, (set, component) of the sets that link with another).  rows: doc_id, pick, text."""
-    marks = stage(_marks(rows, width), "near-marks")
-    classes = marks.where("set is not null").groupBy("set").agg(F.min(F.struct("pick", "n", "signature")).alias("c")).select("set", "c.*")
-    classes = stage(classes, "near-classes")
-    keys = classes.select("set", "signature").mapInArrow(_keys, "key long, set long")
-    least = keys.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").select("key", "least")
-    star = keys.join(least, "key").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
-    groups = components(star, "near-groups").select(F.col("node").alias("set"), F.col("component").alias("group"))
-    members = stage(groups.join(classes, "set"), "near-members")
-    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.col("n") * 8 + SIZE * 2) / CELL_BYTES).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "group").select("set", "group", "blocks", "pick", "signature", F.pmod(F.hash("set"), F.col("blocks")).alias("block"))
-    kept = rows.select(F.col("pick").alias("_pick"), "text")
-
-    def full_sets(batches):
-        names = ["set", "group", "blocks", "signature", "block"]
-        for batch, data, offs in text_blocks(batches):
-            words, first = word_hashes(data, offs, spaced=True)
-            hashes, begin = distinct_shingles(words, first, width)
-            raw = [hashes[begin[i] : begin[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary())], names=[*names, "shingles"])
-
-    sets = kept.join(wanted.hint("shuffle_hash"), F.col("_pick") == F.col("pick")).drop("pick", "_pick").mapInArrow(full_sets, "set long, group long, blocks int, signature binary, block int, shingles binary")
-    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "block", "signature", "shingles")
-    links = cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "block", "set").mapInArrow(_cell_links(CELL_BYTES, REACH, threshold), "a long, b long")
-    return marks, components(links, "near-links").select(F.col("node").alias("set"), F.col("component").alias("class"))
+    with scratch() as held:
+        marks = stage(_marks(rows, width), "near-marks")
+        classes = marks.where("set is not null").groupBy("set").agg(F.min(F.struct("pick", "n", "signature")).alias("c")).select("set", "c.*")
+        classes = stage(classes, "near-classes")
+        keys = classes.select("set", "signature").mapInArrow(_keys, "key long, set long")
+        least = keys.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").select("key", "least")
+        star = keys.join(least, "key").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
+        groups = components(star, "near-groups").select(F.col("node").alias("set"), F.col("component").alias("group"))
+        members = stage(groups.join(classes, "set"), "near-members")
+        sizes = members.groupBy("group").agg(F.ceil(F.sum(F.col("n") * 8 + SIZE * 2) / CELL_BYTES).cast("int").alias("blocks"))
+        wanted = members.join(sizes, "group").select("set", "group", "blocks", "pick", "signature", F.pmod(F.hash("set"), F.col("blocks")).alias("block"))
+        kept = rows.select(F.col("pick").alias("_pick"), "text")
+
+        def full_sets(batches):
+            names = ["set", "group", "blocks", "signature", "block"]
+            for batch, data, offs in text_blocks(batches):
+                words, first = word_hashes(data, offs, spaced=True)
+                hashes, begin = distinct_shingles(words, first, width)
+                raw = [hashes[begin[i] : begin[i + 1]].tobytes() for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary())], names=[*names, "shingles"])
+
+        sets = kept.join(wanted.hint("shuffle_hash"), F.col("_pick") == F.col("pick")).drop("pick", "_pick").mapInArrow(full_sets, "set long, group long, blocks int, signature binary, block int, shingles binary")
+        cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "block", "signature", "shingles")
+        links = cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "block", "set").mapInArrow(_cell_links(CELL_BYTES, REACH, threshold), "a long, b long")
+        linked = stage(components(links, "near-links").select(F.col("node").alias("set"), F.col("component").alias("class")), "near-linked")
+    drop_staged(*(t for t in held if t is not marks and t is not linked))
+    return marks, linked
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -210,14 +214,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     best = named.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pick")).alias("best"), F.count("*").alias("n"))
     gone = named.join(best, "class").where("pick <> best.pick").select("pick").distinct()
     # rows with the same id and text have the same pick: of those, one is kept
-    again = marks.where("set is not null").groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select(F.col("pick").alias("again"))
-    gone, again = stage(gone, "near-gone"), stage(again, "near-again")
-    picked = docs.withColumn("_pick", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
-    kept = picked.join(gone, F.col("_pick") == F.col("pick"), "left_anti")
+    mine, theirs = unused(docs, "pick", "other")
+    again = marks.where("set is not null").groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select(F.col("pick").alias(theirs))
+    gone, again = stage(gone.withColumnRenamed("pick", theirs), "near-gone"), stage(again, "near-again")
+    drop_staged(marks, linked)
+    kept = docs.withColumn(mine, F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))).join(gone, F.col(mine) == F.col(theirs), "left_anti")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, F.col("_pick") == F.col("again"), "left_semi").dropDuplicates(["_pick"])
-    return kept.join(again, F.col("_pick") == F.col("again"), "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select(*columns_of(docs))
+    once = kept.join(again, F.col(mine) == F.col(theirs), "left_semi").dropDuplicates([mine])
+    return kept.join(again, F.col(mine) == F.col(theirs), "left_anti").unionByName(once).select(*columns_of(docs))
 
 
 def brute_force(docs: list[tuple], width: int = WIDTH, threshold: int = THRESHOLD) -> list[tuple]:

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one numpy pass handles at once; bounds a Python worker's memory.
 BLOCK_BYTES = 1 << 21
@@ -75,7 +76,7 @@ def scratch() -> Iterator[list[DataFrame]]:
     try:
         yield held
     finally:
-        _open.remove(held)
+        _open.pop()
 
 
 def unused(docs: DataFrame, *names: str) -> list[str]:
@@ -95,6 +96,18 @@ def columns_of(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def map_whole(df: DataFrame, function: Callable, schema: StructType) -> DataFrame:
+    """mapInArrow over all columns, whose names may hold dots."""
+    names, made = df.columns, schema.names
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def work(batches):
+        for out in function(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(plain.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(work, plain).toDF(*made)
+
+
 # --- Arrow text ------------------------------------------------------------------------------------
 
 

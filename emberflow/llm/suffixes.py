@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, columns_of, drop_staged, slice_hashes, stage, text_blocks, unused, word_spans
+from .shared import U64, columns_of, drop_staged, map_whole, slice_hashes, stage, text_blocks, unused, word_spans
 
 LENGTH = 400
 GRAM = 128
@@ -479,7 +479,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             columns = [pa.array(values, block.schema.field(text).type) if c == text else block.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(alive))
 
-    out = joined.mapInArrow(cut, docs.schema)
+    out = map_whole(joined, cut, docs.schema)
     if "n_chars" not in names:
         return out
     kind = docs.schema["n_chars"].dataType

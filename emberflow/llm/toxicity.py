@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, mix, row_shingles, slice_hashes, text_blocks, word_hashes, word_spans
+from .shared import U64, map_whole, mix, row_shingles, slice_hashes, text_blocks, word_hashes, word_spans
 
 BITS = 20
 #: Words inflect: besides the word itself, its first bytes are features.
@@ -121,7 +121,7 @@ def fit(index: np.ndarray, begin: np.ndarray, toxic: np.ndarray, grades: int = G
     number = np.cumsum(used) - 1
     keep = used[dense]
     row, col, names = row[keep], number[dense[keep]], names[used]
-    levels = np.array([np.mean(grade > k) for k in range(grades - 1)])
+    levels = np.array([np.mean(grade > k) for k in range(grades - 1)]) if len(grade) else np.zeros(grades - 1)
     levels = np.clip(levels, 1e-6, 1 - 1e-6)
     if len(grade) == 0 or len(np.unique(grade)) < 2 or not len(names):
         return {"names": names[:0], "weights": np.zeros(0), "thresholds": -np.log(levels / (1 - levels)) if len(grade) else np.full(grades - 1, 14.0)}
@@ -216,6 +216,6 @@ def harmless(docs: DataFrame, model: dict, text: str = "text", cutoff: float = C
         for batch, data, offs in text_blocks(batches, text):
             yield batch.filter(pa.array(score(data, offs)[:, 0] < cutoff))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_whole(docs, work, docs.schema)
 
 

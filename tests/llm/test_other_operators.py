@@ -1,10 +1,13 @@
 """URLs, licences and neighbours against DuckDB or brute force; the pipeline; and the registry."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from emberflow.llm import ann, licences, urls
+from emberflow.llm import ann, decontam, licences, neardup, suffixes, urls
 from emberflow.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -77,7 +80,7 @@ def test_registry():
 
 def test_pipeline_against_plain_python(spark, monkeypatch):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from emberflow.llm import bpe, decontam, neardup, suffixes, toxicity
+    from emberflow.llm import bpe, toxicity
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -87,16 +90,80 @@ def test_pipeline_against_plain_python(spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in bad]
     kept = {r[0] for r in neardup.brute_force(rows, width=5) if r[3]}
     rows = [r for r in rows if r[0] in kept]
-    cut = []
-    for (i, text), (_, removed, _, _) in zip(rows, suffixes.brute_force([t for _, t in rows]), strict=True):
-        cut.append((i, text if not removed else None))
+    cut = dict(zip([i for i, _ in rows], _without_passages([t for _, t in rows]), strict=True))
+    left = [(i, cut[i]) for i, t in rows if cut[i] or not t]
+    assert len(left) > 100
+    assert any(t != cut[i] for i, t in rows)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    whole = [r for r in cut if r[1] is not None]
-    dirty = {k for k, v in decontam.brute_force(whole, items).items() if v[4]}
+    dirty = {k for k, v in decontam.brute_force(left, items).items() if v[4]}
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
-    changed = {i for i, t in cut if t is None}
-    assert set(out) - changed == {i for i, _ in whole} - dirty
-    assert all(out[i].decoded == t for i, t in whole if i in out)
+    assert set(out) == {i for i, _ in left} - dirty
+    assert all(out[i].decoded == (t or "") for i, t in left if i in out)
     for name, f in corpus_pipeline.STAGES[:4]:
         assert f(spark, docs, SF).columns == docs.columns, name
     assert bpe.Vocabulary
+
+
+def _without_passages(texts, length=240, words=50):
+    """Brute force: texts without covered stretches of over ``words`` words."""
+    count = {}
+    raw = [(t or "").encode() for t in texts]
+    for r in raw:
+        for i in range(len(r) - length + 1):
+            count[r[i : i + length]] = count.get(r[i : i + length], 0) + 1
+    out = []
+    for t, r in zip(texts, raw, strict=True):
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if count[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept, at = b"", 0
+        for run in re.finditer(b"\1+", gone):
+            inside = r[run.start() : run.end()].lower()
+            if len(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", inside)) > words:
+                kept, at = kept + r[at : run.start()], run.end()
+        kept += r[at:]
+        out.append(t if kept == r else kept.decode("utf-8", "ignore"))
+    return out
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "no id here"), (10**6 + 2, "twice the same"), (10**6 + 2, "twice the same"), (10**6 + 3, "long words " * 40000)], "doc_id long, text string")
+    odd = odd.select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes if c not in ("doc_id", "text")])
+    for name, table in (("all", docs.unionByName(odd)), ("none", docs.limit(0))):
+        folder = tmp_path / name
+        table.withColumn("pick", F.lit(1)).withColumn("_spans", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        got = [(r.doc_id, r.decoded) for r in out]
+        if name == "none":
+            assert not got
+        else:
+            assert {(10**6, ""), (10**6 + 1, ""), (None, "no id here"), (10**6 + 2, "twice the same")} <= set(got)
+            assert got.count((10**6 + 2, "twice the same")) == 1
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["pick", "_pick", "other", "again", "rid", "_rid", "spans", "_spans", "Set", "a.b"]
+    rows = [(i, "some words of a text that is repeated here " * 3 + str(i % 3), *range(len(names))) for i in range(9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert [tuple(r)[2:] for r in kept.collect()] == [tuple(range(len(names)))]
+    cut = suffixes.without_repeats(docs, length=20, gram=6)
+    assert cut.columns == docs.columns
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in cut.collect())
+    items = spark.createDataFrame([("i", "a text that is repeated here some words of a")], "item_id string, text string")
+    assert decontam.decontaminate(docs, items).where("n_hit > 0").count() == 9
+    assert decontam.clean_documents(docs, items).columns == docs.columns
+
+
+def test_groups_of_items_after_a_reshuffle(spark):
+    rows = [(i % 7, f"w{i % 3} " + " ".join(f"v{j}" for j in range(30))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    items = spark.createDataFrame([(f"i{k}", " ".join(f"v{j}" for j in range(k, k + 12))) for k in range(15)], "item_id string, text string")
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select("doc_id", "n_words", "n_hit", "begins", "ends", "items").collect())
+    assert key(decontam.decontaminate(docs, items, group_bytes=200)) == key(decontam.decontaminate(docs, items))
