@@ -306,3 +306,16 @@ def test_passages_of_repeated_rows_come_once(spark):
     got = [tuple(r) for r in passages.shared_passages(frame(spark, rows)).collect()]
     assert len(got) == len(set(got))
     assert {frozenset(x[:2]) for x in got} == {frozenset(x) for x in ((1, 2), (1, 3), (2, 3))}
+
+
+def test_passages_of_texts_that_repeat_a_line(spark):
+    line = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join([f"a{i}"] * 30 + line * n + [f"b{i}"] * 30)) for i, n in enumerate((3, 40, 100, 1500))]
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    assert {frozenset((r.doc_id, r.partner_id)) for r in got} == {frozenset((i, j)) for i in range(4) for j in range(i)}
+    longest = {frozenset((r.doc_id, r.partner_id)): 0 for r in got}
+    for r in got:
+        key = frozenset((r.doc_id, r.partner_id))
+        longest[key] = max(longest[key], r.n_match)
+    assert longest[frozenset((2, 3))] >= 2000
+    assert longest[frozenset((0, 3))] >= 60
