@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .detection import lookup
-from .geo import close_ring, destination, downwind
 
 C1, C2 = 2.0 * C.PLANCK_H * C.LIGHT_C**2, C.PLANCK_H * C.LIGHT_C / C.BOLTZMANN_K
 
@@ -107,17 +106,21 @@ def plume_length_m(wind: Column, cls: Column, frp: Column) -> Column:
     return F.greatest(F.lit(2000.0), F.least(base * (1.0 + F.least(F.coalesce(frp, F.lit(0.0)) / 500.0, F.lit(1.0))), F.lit(50000.0)))
 
 
-def plume_ring(lon: Column, lat: Column, direction: Column, cls: Column, length: Column, steps: int = 24) -> Column:
-    """Out along the right flank and back along the left: the contour of a tenth of the centreline's value."""
-    travel = downwind(direction)
+def plume_ring(lon: Column, lat: Column, east: Column, north: Column, length: Column, spread: Column, steps: int = 24) -> Column:
+    """Out along the right flank and back along the left: the contour of a tenth of the centreline's value.
+
+    east and north are the direction of travel, spread the half width at the end; it grows as sigma_y does.
+    """
+    end = spread * F.sqrt(1 + 1e-4 * length) / length  # half width by distance, but for the slow root
 
     def flank(side: float):
         def point(i: Column) -> Column:
             d = length * i / steps
-            cx, cy = destination(lon, lat, travel, d)
-            px, py = destination(cx, cy, F.pmod(travel + side, F.lit(360.0)), C.LATERAL_MULTIPLE * sigma_y(d, cls))
-            return F.struct(px.alias("lon"), py.alias("lat"))
+            w = side * end * d / F.sqrt(1 + 1e-4 * d)
+            y = lat + d * north / C.METRES_PER_DEGREE
+            x = lon + d * east / (C.METRES_PER_DEGREE * F.cos(F.radians(lat))) + w * north / (C.METRES_PER_DEGREE * F.cos(F.radians(y)))
+            return F.struct(x.alias("lon"), (y - w * east / C.METRES_PER_DEGREE).alias("lat"))
 
         return F.transform(F.sequence(F.lit(0), F.lit(steps)), point)
 
-    return close_ring(F.concat(flank(90.0), F.reverse(flank(-90.0))))
+    return F.concat(flank(1.0), F.reverse(flank(-1.0)))

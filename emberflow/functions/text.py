@@ -1,4 +1,4 @@
-"""Sentences and messages as Column functions."""
+"""Sentences and messages as Column functions, in words of our own."""
 
 from __future__ import annotations
 
@@ -7,26 +7,23 @@ from pyspark.sql import functions as F
 
 
 def ptsi_summary(kind: Column, days: Column, multiple: Column, sigma: Column, normal: Column) -> Column:
-    opening = (
-        F.when(kind == "persistent", F.format_string("Established persistent source, active across %.0f days", days))
-        .when(kind == "intermittent", F.format_string("Intermittent source, seen on and off across %.0f days", days))
-        .otherwise(F.format_string("Transient event, only %.1f days of history", days))
+    """What is known of a source, clause by clause; clauses without a value are left out."""
+    clauses = (
+        F.concat(kind, F.lit(" heat source")),
+        F.format_string("%.1f days between first and last detection", days),
+        F.when(multiple > 0, F.format_string("%.1f times the mean output", multiple)),
+        F.when(sigma.isNotNull(), F.format_string("%+.1f standard deviations", sigma)),
+        F.coalesce(F.when(normal, "usual").when(~normal, "unusual"), F.lit("nothing to compare with")),
     )
-    parts = F.concat_ws(", ", F.when(multiple > 0, F.format_string("%.1fx its normal output", multiple)), F.when(sigma.isNotNull(), F.format_string("%+.1f sigma from its baseline", sigma)))
-    detail = F.when(parts == "", "outside its normal range").otherwise(parts)
-    rest = F.when(normal.isNull(), F.lit(". No baseline yet, so normal behaviour is unknown.")).when(normal, ". Currently within its normal range.").otherwise(F.concat(F.lit(". Currently "), detail, F.lit(" — potentially abnormal.")))
-    return F.concat(opening, rest)
-
-
-def sms_body(place: Column, lon: Column, lat: Column, litres: Column, cubic_metres: Column, trips: Column, loads: Column, air: Column, drops: Column, url: Column) -> Column:
-    """An emergency message, line by line."""
-    water = F.when(litres.isNotNull(), F.concat(F.format_number(litres, 0), F.lit(" L"))).when(cubic_metres.isNotNull(), F.concat(F.lit("Not applicable ("), F.format_number(cubic_metres, 0), F.lit(" m3)"))).otherwise("Not available")
-    ground = F.coalesce(F.nullif(trips, F.lit(0)), F.nullif(loads, F.lit(0)))
-    needed = lambda c: F.when(c, "Required").otherwise("Not Required")
-    lines = (
-        F.lit("EMERGENCY ALERT"), F.concat(F.lit("Location: "), F.coalesce(place, F.lit("Location pending confirmation"))), F.format_string("Coordinates: %.5f, %.5f", lat, lon),
-        F.concat(F.lit("Water Required: "), water), F.concat(F.lit("Fire Truck Trips: "), F.coalesce(ground.cast("string"), F.lit("Not available"))),
-        F.concat(F.lit("Ground Support: "), needed(ground.isNotNull())), F.concat(F.lit("Air Support: "), needed(air)),
-        F.when(air & (drops > 0), F.concat(F.lit("Aerial Tanks: "), drops.cast("string"))), F.concat(F.lit("Web Page: "), url), F.lit("Respond immediately."),
-    )
-    return F.concat_ws("\n", *lines)
+    return F.concat_ws("; ", *clauses)
+
+
+def dispatch_message(title: Column, fields: dict[str, Column]) -> Column:
+    """A title and a line "name: value" for each field that has a value."""
+    return F.concat_ws("\n", title, *[F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in fields.items()])
+
+
+def water_needed(litres: Column, cubic_metres: Column) -> Column:
+    """Litres of water, or how much to smother where water doesn't help; null if neither is known."""
+    amount = lambda v, unit: F.concat(F.format_number(v, 0), F.lit(unit))
+    return F.coalesce(amount(litres, " litres"), amount(cubic_metres, " m3 to cover"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import shared_folder
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
@@ -84,16 +85,14 @@ def eps_edges(points: DataFrame, eps: float) -> DataFrame:
 
 
 def _staged(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the cluster's shared folder (an own one where none is set, as in tests)."""
+    """Cuts lineage by a checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberflow-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): smallest node reachable, by large-star and small-star steps until nothing changes."""
 
     def least(df: DataFrame) -> DataFrame:
@@ -113,6 +112,8 @@ def connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
         seen = mark(now)
         if seen == before:
             break
+    else:
+        raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

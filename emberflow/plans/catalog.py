@@ -419,17 +419,19 @@ def _plumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("length_m", physics.plume_length_m(F.col("speed"), F.col("cls"), F.col("frp"))).withColumn("rise", physics.plume_rise(F.col("frp"), F.col("speed")))
 
 
-@query(_PLUME + """
+@query(_PLUME + f"""
+, pl4 AS (SELECT *, length_m/2 AS d, sin(radians(travel)) AS sn, cos(radians(travel)) AS cs, lat + length_m/2*cos(radians(travel))/111320.0 AS cy FROM pl3),
+pl5 AS (SELECT *, 2.146*{_SY}*d/sqrt(1+1e-4*d) AS w FROM pl4)
 SELECT id, cls AS stability, round(length_m,3) AS length_m, round(rise,4) AS plume_rise_m, round(2.146*sy,3) AS half_width_m, 50 AS n_points,
-  round(lat + length_m*cos(radians(travel))/111320.0,5) AS tip_lat FROM pl3""")
+  round(lat + length_m*cos(radians(travel))/111320.0,5) AS tip_lat, round(cy - w*sn/111320.0,5) AS middle_lat, round(lon + d*sn/(111320.0*cos(radians(lat))) + w*cs/(111320.0*cos(radians(cy))),5) AS middle_lon FROM pl5""")
 def stability_plume_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stability, rise and footprint ring of every detection's plume."""
-    p = _plumes(spark, sf_dir)
-    ring = physics.plume_ring(F.col("lon"), F.col("lat"), F.col("direction"), F.col("cls"), F.col("length_m"))
-    q = p.withColumn("ring", ring)
+    """Stability, rise and footprint ring of every detection's plume: its tip and the right flank halfway."""
+    travel = F.radians(geo.downwind(F.col("direction")))
+    p = _plumes(spark, sf_dir).withColumn("spread", C.LATERAL_MULTIPLE * physics.sigma_y(F.col("length_m"), F.col("cls"))).withColumn("east", F.sin(travel)).withColumn("north", F.cos(travel))
+    q = p.withColumn("ring", physics.plume_ring(F.col("lon"), F.col("lat"), F.col("east"), F.col("north"), F.col("length_m"), F.col("spread")))
     # the flanks' last points lie opposite each other across the tip
-    tip = (F.get("ring", F.lit(24))["lat"] + F.get("ring", F.lit(25))["lat"]) / 2
-    return q.select("id", F.col("cls").alias("stability"), r("length_m", 3).alias("length_m"), r("rise", 4).alias("plume_rise_m"), r(C.LATERAL_MULTIPLE * physics.sigma_y(F.col("length_m"), F.col("cls")), 3).alias("half_width_m"), F.size("ring").alias("n_points"), r(tip, 5).alias("tip_lat"))
+    tip, middle = (F.get("ring", F.lit(24))["lat"] + F.get("ring", F.lit(25))["lat"]) / 2, F.get("ring", F.lit(12))
+    return q.select("id", F.col("cls").alias("stability"), r("length_m", 3).alias("length_m"), r("rise", 4).alias("plume_rise_m"), r("spread", 3).alias("half_width_m"), F.size("ring").alias("n_points"), r(tip, 5).alias("tip_lat"), r(middle["lat"], 5).alias("middle_lat"), r(middle["lon"], 5).alias("middle_lon"))
 
 
 @query(_PLUME + " SELECT id, round(1e6*(1000.0/(2*pi()*u*sy*sz))*exp(-(50.0*50.0)/(2*sy*sy))*(exp(-pow(2-rise,2)/(2*sz*sz))+exp(-pow(2+rise,2)/(2*sz*sz))),4) AS micrograms FROM pl3")
@@ -860,7 +862,7 @@ def dashboard_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship read: recent clusters inside the country, newest first, with everything the page shows."""
     d = views.detections(spark, sf_dir)
     f = _facts(spark, sf_dir)
-    newest = f.agg(F.max("last_seen").alias("newest"))
+    newest = d.agg(F.max("acq_datetime").alias("newest"))
     recent = f.crossJoin(F.broadcast(newest)).where(F.col("last_seen") >= F.col("newest") - F.expr("interval 3 days"))  # one row
     inside = point_in_polygon_admin(spark, sf_dir).where("state is not null")
     latest = d.groupBy("cluster_id").agg(F.max_by("source", F.struct("acq_datetime", "id")).alias("source"), F.avg("confidence").alias("confidence"))
@@ -1011,8 +1013,8 @@ def upsert_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_PTSI + """
-SELECT p.cluster_id, CASE source_class WHEN 'persistent' THEN format('Established persistent source, active across {:.0f} days', span_days) WHEN 'intermittent' THEN format('Intermittent source, seen on and off across {:.0f} days', span_days) ELSE format('Transient event, only {:.1f} days of history', span_days) END ||
-  CASE WHEN normal IS NULL THEN '. No baseline yet, so normal behaviour is unknown.' WHEN normal THEN '. Currently within its normal range.' ELSE '. Currently ' || concat_ws(', ', CASE WHEN multiple > 0 THEN format('{:.1f}x its normal output', multiple) END, format('{:+.1f} sigma from its baseline', sigma)) || ' — potentially abnormal.' END AS summary
+SELECT p.cluster_id, concat_ws('; ', source_class || ' heat source', format('{:.1f} days between first and last detection', span_days), CASE WHEN multiple > 0 THEN format('{:.1f} times the mean output', multiple) END,
+  CASE WHEN sigma IS NOT NULL THEN format('{:+.1f} standard deviations', sigma) END, CASE WHEN normal THEN 'usual' WHEN NOT normal THEN 'unusual' ELSE 'nothing to compare with' END) AS summary
 FROM ptsi p JOIN mr USING (cluster_id)""")
 def ptsi_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = temporal.slots(views.detections(spark, sf_dir)).groupBy("cluster_id").agg(F.first("span_days").alias("days"))
@@ -1022,12 +1024,17 @@ def ptsi_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FACTS + _SUPP + f"""
 , sm AS (SELECT *, CAST(CASE WHEN kind = 'mining' THEN 0 ELSE {_TRIP.format(v='l', d=5000)} END AS BIGINT) AS tt, CAST(CASE WHEN kind = 'mining' THEN {_TRIP.format(v='m3', d=10)} ELSE 0 END AS BIGINT) AS tl, CAST(CASE WHEN kind NOT IN ('industrial_fire','gas_flare','mining') AND air THEN {_TRIP.format(v='l', d=3000)} ELSE 0 END AS BIGINT) AS dr FROM s1)
-SELECT cluster_id, concat_ws(chr(10), 'EMERGENCY ALERT', 'Location: ' || coalesce(CASE WHEN cluster_id % 2 = 0 THEN facility_type END, 'Location pending confirmation'), format('Coordinates: {{:.5f}}, {{:.5f}}', round(lat,4), round(lon,4)),
-  'Water Required: ' || CASE WHEN kind <> 'mining' THEN format('{{:,}} L', CAST(round(l,0) AS BIGINT)) ELSE format('Not applicable ({{:,}} m3)', CAST(round(m3,0) AS BIGINT)) END, 'Fire Truck Trips: ' || coalesce(CAST(coalesce(nullif(tt,0), nullif(tl,0)) AS VARCHAR), 'Not available'),
-  'Ground Support: ' || CASE WHEN coalesce(nullif(tt,0), nullif(tl,0)) IS NOT NULL THEN 'Required' ELSE 'Not Required' END, 'Air Support: ' || CASE WHEN air THEN 'Required' ELSE 'Not Required' END, CASE WHEN air AND dr > 0 THEN 'Aerial Tanks: ' || dr END, 'Web Page: https://example.org/' || cluster_id, 'Respond immediately.') AS body FROM sm""")
+SELECT cluster_id, concat_ws(chr(10), 'Fire report ' || cluster_id, 'site: ' || CASE WHEN cluster_id % 2 = 0 THEN facility_type END, format('north, east: {{:.4f}}, {{:.4f}}', round(lat,4), round(lon,4)),
+  'water: ' || CASE WHEN kind <> 'mining' THEN format('{{:,}} litres', CAST(round(l,0) AS BIGINT)) ELSE format('{{:,}} m3 to cover', CAST(round(m3,0) AS BIGINT)) END, 'vehicles: ' || coalesce(nullif(tt,0), nullif(tl,0)),
+  'aircraft: ' || CASE WHEN air THEN dr || ' drops' END, 'details: https://example.org/' || cluster_id) AS body FROM sm""")
 def sms_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _rdi(spark, sf_dir)
     s = scoring.suppression(F.col("predicted"), F.col("frp_max"), F.col("ha"), F.col("coa"), F.lit("VIIRS"))
     place = F.when(F.col("cluster_id") % 2 == 0, F.col("facility_type"))
-    body = text.sms_body(place, r("lon", 4), r("lat", 4), s["volume_l"], s["volume_m3"], s["tanker_trips"], s["truck_loads"], s["air_support"], s["air_drops"], F.concat(F.lit("https://example.org/"), F.col("cluster_id")))
+    fields = {
+        "site": place, "north, east": F.format_string("%.4f, %.4f", r("lat", 4), r("lon", 4)), "water": text.water_needed(s["volume_l"], s["volume_m3"]),
+        "vehicles": F.coalesce(F.nullif(s["tanker_trips"], F.lit(0)), F.nullif(s["truck_loads"], F.lit(0))), "aircraft": F.when(s["air_support"], F.concat(s["air_drops"].cast("string"), F.lit(" drops"))),
+        "details": F.concat(F.lit("https://example.org/"), F.col("cluster_id")),
+    }
+    body = text.dispatch_message(F.concat(F.lit("Fire report "), F.col("cluster_id")), fields)
     return f.select("cluster_id", body.alias("body"))
