@@ -96,6 +96,8 @@ PLANCK_H, LIGHT_C, BOLTZMANN_K = 6.62607015e-34, 2.99792458e8, 1.380649e-23
 VIIRS_BANDS, MODIS_BANDS = (3.74e-6, 11.45e-6), (3.959e-6, 11.03e-6)
 VIIRS_SATURATION_K, MODIS_SATURATION_K = 367.0, 500.0
 FIRE_K, FIRE_FRACTION = (400.0, 1800.0), (1e-7, 1.0)
+BACKGROUND_DAY_K, BACKGROUND_NIGHT_K, BACKGROUND_K, BACKGROUND_SHARE, MIN_BACKGROUND = 305.0, 290.0, (260.0, 330.0), 0.1, 4
+BACKGROUND_ERROR_K, WELL_CONSTRAINED_SPREAD = 1.0, 0.30
 
 # Weak labels
 AGRI_BELT = (73.8, 29.5, 77.6, 32.6)

@@ -46,6 +46,35 @@ def close_ring(ring: Column) -> Column:
     return F.when((F.size(ring) == 0) | (F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1)), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
+def wedge_ring(lon: Column, lat: Column, bearing: Column, length_km: Column, half_angle: Column, steps: int = 12) -> Column:
+    """Closed ring from the apex along an arc of equal distance; null unless the length and the angle (below 180) are positive."""
+
+    def rim(i: Column) -> Column:
+        x, y = destination(lon, lat, bearing - half_angle + 2 * half_angle * i / steps, length_km * 1000.0)
+        return F.struct(x.alias("lon"), y.alias("lat"))
+
+    apex = F.array(F.struct(lon.alias("lon"), lat.alias("lat")))
+    return F.when((length_km > 0) & (half_angle > 0) & (half_angle < 180), F.concat(apex, F.transform(F.sequence(F.lit(0), F.lit(steps)), rim), apex))
+
+
+def refuges(lon: Column, lat: Column, ring: Column, distance_m: float = 8000.0, bearings: int = 12) -> Column:
+    """Points around a place, as struct(bearing, lon, lat), that a hazard's ring does not cover."""
+
+    def at(i: Column) -> Column:
+        b = i * (360.0 / bearings)
+        x, y = destination(lon, lat, b, F.lit(distance_m))
+        return F.struct(b.alias("bearing"), x.alias("lon"), y.alias("lat"))
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(bearings - 1)), at)
+    return F.when(ring.isNull(), every).otherwise(F.filter(every, lambda p: ~point_in_ring(p["lon"], p["lat"], ring)))
+
+
+def geojson(ring: Column) -> Column:
+    """A ring as the text of a GeoJSON polygon; null for null."""
+    pairs = F.transform(ring, lambda p: F.array(p["lon"], p["lat"]))
+    return F.when(ring.isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(pairs).alias("coordinates"))))
+
+
 def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Even-odd ray casting over an array of struct(lon, lat)."""
     ahead = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from .detection import lookup
 C1, C2 = 2.0 * C.PLANCK_H * C.LIGHT_C**2, C.PLANCK_H * C.LIGHT_C / C.BOLTZMANN_K
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once for ``body``: an array of one element, transformed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def radiance(wavelength: Column | float, kelvin: Column) -> Column:
     """Planck spectral radiance; 0 where the exponent is out of range, null for impossible temperatures."""
     w = F.lit(wavelength) if isinstance(wavelength, float) else wavelength
@@ -46,19 +52,44 @@ def dozier(mir_k: Column, tir_k: Column, background: Column, sensor: Column, ste
     number of bisections finds the root inside the row.
     """
     w4, w5 = bands(sensor)
-    excess4 = radiance(w4, mir_k) - radiance(w4, background)
-    excess5 = radiance(w5, tir_k) - radiance(w5, background)
-    fraction = lambda t: excess4 / (radiance(w4, t) - radiance(w4, background))
-    surplus = lambda t: fraction(t) * (radiance(w5, t) - radiance(w5, background)) - excess5
+    glow4, glow5 = radiance(w4, background), radiance(w5, background)
+    known = F.struct(w4.alias("w4"), w5.alias("w5"), glow4.alias("g4"), glow5.alias("g5"), (radiance(w4, mir_k) - glow4).alias("e4"), (radiance(w5, tir_k) - glow5).alias("e5"), (mir_k < saturation(sensor)).alias("dark"))
     low, high = C.FIRE_K
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    middle = lambda s: (s["lo"] + s["hi"]) / 2
-    halve = lambda s, _: F.struct(F.when(surplus(middle(s)) > 0, middle(s)).otherwise(s["lo"]).alias("lo"), F.when(surplus(middle(s)) > 0, s["hi"]).otherwise(middle(s)).alias("hi"))
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, middle)
-    bracketed = (surplus(F.lit(low)) > 0) & (surplus(F.lit(high)) < 0)
-    solvable = (mir_k < saturation(sensor)) & (excess4 > 0) & (excess5 > 0) & bracketed
-    share = fraction(root)
-    return F.when(solvable & share.between(*C.FIRE_FRACTION), F.struct(root.alias("temperature_k"), share.alias("fraction")))
+
+    def solved(k: Column) -> Column:
+        fraction = lambda t: k["e4"] / (radiance(k["w4"], t) - k["g4"])
+        surplus = lambda t: fraction(t) * (radiance(k["w5"], t) - k["g5"]) - k["e5"]
+        start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+        middle = lambda s: (s["lo"] + s["hi"]) / 2
+        half = lambda s: lambda m: F.when(surplus(m) > 0, F.struct(m.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi")))
+        root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: let(middle(s), half(s)), middle)
+        solvable = k["dark"] & (k["e4"] > 0) & (k["e5"] > 0) & (surplus(F.lit(low)) > 0) & (surplus(F.lit(high)) < 0)
+        return F.when(solvable, let(root, lambda t: let(fraction(t), lambda share: F.when(share.between(*C.FIRE_FRACTION), F.struct(t.alias("temperature_k"), share.alias("fraction"))))))
+
+    return let(known, solved)
+
+
+def dozier_bracket(mir_k: Column, tir_k: Column, background: Column, sensor: Column) -> Column:
+    """struct(temperature_k, fraction, low_k, high_k, well_constrained): the retrieval and how far it moves with the background.
+
+    Null if the pixel allows no fire; a bracket of which neither end can be solved is null and not well constrained.
+    """
+    at = lambda k: dozier(mir_k, tir_k, background + k, sensor)
+    solved = F.struct(at(0.0).alias("mid"), at(-C.BACKGROUND_ERROR_K).alias("cold"), at(C.BACKGROUND_ERROR_K).alias("warm"))
+
+    def judged(s: Column) -> Column:
+        mid, ends = s["mid"]["temperature_k"], [s[k]["temperature_k"] for k in ("cold", "warm")]
+        some = F.coalesce(*ends).isNotNull()
+        low, high = F.when(some, F.least(mid, *ends)), F.when(some, F.greatest(mid, *ends))
+        sure = F.coalesce((high - low) / mid <= C.WELL_CONSTRAINED_SPREAD, F.lit(False))
+        return F.when(mid.isNotNull(), F.struct(mid.alias("temperature_k"), s["mid"]["fraction"].alias("fraction"), low.alias("low_k"), high.alias("high_k"), sure.alias("well_constrained")))
+
+    return let(solved, judged)
+
+
+def pixel_area_m2(scan_km: Column, track_km: Column) -> Column:
+    """Ground area of a detection, null where a side is unknown or 0."""
+    return F.nullif(scan_km, F.lit(0.0)) * F.nullif(track_km, F.lit(0.0)) * 1e6
 
 
 def stability(wind: Column, day: Column, cloud: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import detection, geo
+from ..functions import detection, geo, physics
 
 
 def thermal(points: DataFrame) -> DataFrame:
@@ -90,3 +90,28 @@ def trajectory(points: DataFrame, hours: float = 12.0, buckets: int = 6) -> Data
         F.when(directed, net / days).otherwise(0.0).alias("rate_km_day"), F.when(F.col("n_observations") >= 2, net).otherwise(0.0).alias("net_km"), F.greatest(days, F.lit(0.0)).alias("days"),
         F.when(directed & (F.col("path_km") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), net / F.col("path_km")))).otherwise(0.0).alias("confidence"),
     )
+
+
+def dual_band(points: DataFrame) -> DataFrame:
+    """Detections of sensors with both bands, and with both measured."""
+    two = F.upper("source").contains("VIIRS") | F.upper("source").contains("MODIS")
+    return points.where(two & F.col("brightness").isNotNull() & F.col("brightness_tir").isNotNull())
+
+
+def background(points: DataFrame) -> DataFrame:
+    """Ambient temperature of each cluster: a low percentile of the plausible long-wave values, else what is usual by day or night."""
+    usable = F.when(F.col("brightness_tir").between(*C.BACKGROUND_K), F.col("brightness_tir"))
+    flag = lambda f: F.count(F.when(F.col("daynight") == f, 1))
+    g = points.groupBy("cluster_id").agg(F.count(usable).alias("n_usable"), F.percentile(usable, F.lit(C.BACKGROUND_SHARE)).alias("low"), (flag("D") >= flag("N")).alias("day"))
+    enough = F.col("n_usable") >= C.MIN_BACKGROUND
+    usual = F.when(F.col("day"), C.BACKGROUND_DAY_K).otherwise(C.BACKGROUND_NIGHT_K)
+    return g.select("cluster_id", F.when(enough, F.col("low")).otherwise(usual).alias("background_k"), F.when(enough, "percentile").otherwise("climatology").alias("background_source"), F.when(enough, F.col("n_usable")).otherwise(0).alias("n_samples"))
+
+
+def fire_temperature(points: DataFrame) -> DataFrame:
+    """Temperature and size of the fire in each cluster's hottest detection, with the bracket of an uncertain background."""
+    both = dual_band(points)
+    top = both.groupBy("cluster_id").agg(F.max_by(F.struct("brightness", "brightness_tir", "source", "scan", "track"), F.struct("brightness", -F.col("id"))).alias("h"))
+    x = top.join(background(both), "cluster_id").withColumn("s", physics.dozier_bracket(F.col("h.brightness"), F.col("h.brightness_tir"), F.col("background_k"), F.col("h.source")))
+    area = F.col("s.fraction") * physics.pixel_area_m2(F.col("h.scan"), F.col("h.track"))
+    return x.select("cluster_id", "background_k", "background_source", "n_samples", F.col("s.temperature_k").alias("fire_k"), F.col("s.fraction").alias("fraction"), area.alias("area_m2"), F.col("s.low_k").alias("low_k"), F.col("s.high_k").alias("high_k"), F.col("s.well_constrained").alias("well_constrained"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scoring
 
 #: Stands for a missing value, far from any real one, so that a split can set it apart.
 MISSING = -9999.0
@@ -53,4 +57,48 @@ def validate_order(model: PipelineModel, columns: list[str]) -> None:
         raise ValueError("feature order differs from the model's")
 
 
+def verify_no_leakage(train: DataFrame, held: DataFrame, *keys: list[str]) -> None:
+    """Raises if a row, a tile or a group (each a list of columns) is on both sides."""
+    for own in keys:
+        if not train.select(own).join(held.select(own), own, "left_semi").isEmpty():
+            raise ValueError(f"train and test share {', '.join(own)}")
+
+
+def save(model: PipelineModel, folder: str, metadata: dict[str, object]) -> None:
+    """Writes a model and its record under its version and as the latest."""
+    spark = SparkSession.active()
+    for version in (str(metadata["version"]), "latest"):
+        model.write().overwrite().save(f"{folder}/{version}/model")
+        spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{version}/metadata")
+
+
+def load(folder: str, version: str = "latest") -> tuple[PipelineModel, dict[str, object]]:
+    """A saved model with its record, whose feature order has to be the model's."""
+    metadata = json.loads(SparkSession.active().read.text(f"{folder}/{version}/metadata").first()[0])  # one row
+    model = PipelineModel.load(f"{folder}/{version}/model")
+    validate_order(model, list(metadata["features"]))
+    return model, metadata
+
+
+def classify(model: PipelineModel, vectors: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
+    """Class, probabilities in class order, confidence weighted by the evidence at hand, and reasons.
+
+    The reasons name the columns that weigh most in the model as a whole, with a row's own values: they are importances
+    and no contributions to this one verdict.  A null or NaN is an unknown value; a row without any gets the least
+    confidence.
+    """
+    found = {g: scoring.group_present([F.col(c) for c in columns if C.FEATURES[c] == g]) for g in C.GROUP_WEIGHTS}
+    weight, multiplier = scoring.evidence_multiplier(found)
+    weighed = sorted(importances(model, columns).items(), key=lambda x: (-x[1], x[0]))[:top]
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    reason = lambda c, share: F.when(known(c), F.format_string(f"{c.replace('_', ' ')} is %.2f (weighs {100 * share:.1f} %%)", F.col(c).cast("double")))
+    reasons = F.array_compact(F.array(*[reason(c, share) for c, share in weighed]))
+    own = vectors.select("cluster_id", weight.alias("evidence"), multiplier.alias("multiplier"), reasons.alias("reasons"))
+    raw = vector_to_array("probability")
+    padded = F.transform(F.sequence(F.lit(0), F.lit(len(C.CLASSES) - 1)), lambda i: F.coalesce(F.get(raw, i), F.lit(0.0)))
+    told = model.transform(prepared(vectors, columns)).select("cluster_id", padded.alias("probabilities"))
+    both = told.join(own, "cluster_id")
+    return both.select("cluster_id", scoring.top_class(F.col("probabilities")).alias("predicted_class"), "probabilities", scoring.confidence_score(F.col("probabilities"), F.col("multiplier")).alias("confidence"), "evidence", "reasons")
+
+
 CLASS_INDEX = {c: i for i, c in enumerate(C.CLASSES)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import detection, geo
+from ..functions.physics import let
 
 
 def _span_days() -> Column:
@@ -94,11 +95,6 @@ def _start(o: Column) -> Column:
     return F.struct(o["t"].alias("t"), o["f"].alias("f"), F.lit(0.0).alias("r"), _noise(o["f"]).alias("a"), F.lit(0.0).alias("b"), (scale * scale).alias("d"), F.lit(1).alias("n"), F.lit(0.0).alias("nis"))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluates ``value`` once for ``body``: an array of one element, transformed."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _predicted(s: Column, dt: Column, intensity: Column | float = C.PROCESS_NOISE) -> Column:
     f = s["f"] + s["r"] * dt
     scale = F.greatest(F.abs(F.greatest(f, s["f"])), F.lit(C.MIN_SCALE_MW))

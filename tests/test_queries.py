@@ -1,9 +1,15 @@
 """Every query with SQL against DuckDB on the smallest tables; jobs against what they stand for."""
 
+import json
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from emberflow.plans import catalog, jobs
+from emberflow import constants as C
+from emberflow.functions import geo
+from emberflow.operators import features, models
+from emberflow.plans import catalog, events, jobs
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("nation", "supplier", "events", "embeddings")
@@ -36,6 +42,47 @@ def test_against_duckdb(spark, con, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_verdicts(spark):
+    """Verdicts of every cluster: the surest class, confidence by evidence, and reasons that name known values."""
+    got = jobs.QUERIES["classify_events"](spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id div 2").distinct().count()
+    for v in got:
+        assert abs(sum(v.probabilities) - 1) < 1e-4 and v.predicted_class == C.CLASSES[v.probabilities.index(max(v.probabilities))]
+        assert abs(v.confidence - 100 * max(v.probabilities) * (0.5 + 0.5 * v.evidence)) < 0.02
+        assert 0 < len(v.reasons) <= 5 and all("weighs" in x for x in v.reasons)
+
+
+def test_leakage_is_found(spark):
+    a, b = spark.createDataFrame([(1, 5)], "cluster_id long, tile long"), spark.createDataFrame([(2, 5)], "cluster_id long, tile long")
+    models.verify_no_leakage(a, b, ["cluster_id"])
+    with pytest.raises(ValueError, match="tile"):
+        models.verify_no_leakage(a, b, ["cluster_id"], ["tile"])
+
+
+def test_one_event_is_read_by_its_id(spark):
+    one = events.event(spark, SF, 3)
+    assert [x.cluster_id for x in one.collect()] == [3]
+    assert events.event(spark, SF, -1).count() == 0
+
+
+def test_background_and_area(spark):
+    """Too few plausible values give what is usual; saturated and cold pixels give no fire."""
+    rows = [(1, 400.0, 300.0, "VIIRS", "N"), (2, 310.0, 300.0, "VIIRS", "D"), (3, 290.0, 300.0, "MODIS", "D")] + [(4, 340.0 + i, 296.0 + i, "VIIRS", "D") for i in range(5)]
+    points = spark.createDataFrame([(i, *x, 0.5, 0.0 if x[0] == 2 else 0.5) for i, x in enumerate(rows)], "id long, cluster_id long, brightness double, brightness_tir double, source string, daynight string, scan double, track double")
+    got = {x.cluster_id: x for x in features.fire_temperature(points).collect()}
+    assert (got[1].background_k, got[2].background_k, got[2].background_source) == (290.0, 305.0, "climatology")
+    assert got[1].fire_k is None and got[3].fire_k is None and got[2].area_m2 is None
+    assert got[4].background_k == pytest.approx(296.4) and got[4].n_samples == 5
+    assert got[4].fire_k is None or (got[4].low_k is None or got[4].low_k <= got[4].fire_k <= got[4].high_k)
+
+
+def test_rings_as_geojson(spark):
+    ring = geo.wedge_ring(F.col("x"), F.lit(10.0), F.lit(90.0), F.col("km"), F.lit(20.0))
+    a, b = spark.createDataFrame([(70.0, 5.0), (70.0, 0.0)], "x double, km double").select(geo.geojson(ring).alias("g")).collect()
+    shape = json.loads(a.g)
+    assert shape["type"] == "Polygon" and len(shape["coordinates"][0]) == 15 and shape["coordinates"][0][0] == shape["coordinates"][0][-1] and b.g is None
+
+
 def test_calibration_covers(spark):
     got = catalog.QUERIES["walk_forward_calibration"](spark, SF).toPandas()
     assert len(got) and got.coverage_90.between(0, 1).all() and (got.coverage_90 >= got.coverage_50).all()
