@@ -781,13 +781,13 @@ def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GRID_CODE = "CASE (gx*7 + gy*13) % 8 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 40 WHEN 3 THEN 50 WHEN 4 THEN 60 WHEN 5 THEN 80 WHEN 6 THEN 90 ELSE 95 END"
 _GRID = f"""
-, ctr AS (SELECT cluster_id, CAST(floor(lon/0.01) AS BIGINT) AS cx, CAST(floor(lat/0.01) AS BIGINT) AS cy FROM sites),
+, ctr AS (SELECT cluster_id, CAST(floor(round(lon,6)/0.01) AS BIGINT) AS cx, CAST(floor(round(lat,6)/0.01) AS BIGINT) AS cy FROM sites),
 cells AS (SELECT cluster_id, gx, gy, {_GRID_CODE} AS code, CASE WHEN (gx*31+gy*17) % 5 = 0 THEN -1.0 ELSE CAST((gx*31+gy*17) % 40 AS DOUBLE) END AS people FROM (SELECT cluster_id, cx + dx AS gx, cy + dy AS gy FROM ctr, (SELECT unnest(range(-2,3)) AS dx), (SELECT unnest(range(-2,3)) AS dy)))"""
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 x 5 grid cells around each cluster, joined with a raster kept as a table of cells."""
-    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", geo.cell(F.col("lon"), 0.01).alias("cx"), geo.cell(F.col("lat"), 0.01).alias("cy"))
+    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", geo.cell(F.round("lon", 6), 0.01).alias("cx"), geo.cell(F.round("lat", 6), 0.01).alias("cy"))  # sums of any order, one cell
     step = F.sequence(F.lit(-2), F.lit(2))
     wanted = s.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("cluster_id", (F.col("cx") + F.col("dx")).alias("gx"), (F.col("cy") + F.col("dy")).alias("gy"))
     codes = F.array(*map(F.lit, (10, 20, 40, 50, 60, 80, 90, 95)))

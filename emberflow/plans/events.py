@@ -118,12 +118,12 @@ def event_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(k._FACTS + k._VOTES + """
-SELECT f.cluster_id, vr.best.l AS label, round(CAST(best.c AS DOUBLE),2) AS confidence, round(s.lon,5) AS lon, round(s.lat,5) AS lat, floor(s.lon/0.5) AS tile_x, floor(s.lat/0.5) AS tile_y
+SELECT f.cluster_id, vr.best.l AS label, round(CAST(best.c AS DOUBLE),2) AS confidence, round(s.lon,5) AS lon, round(s.lat,5) AS lat, floor(round(s.lon,6)/0.5) AS tile_x, floor(round(s.lat,6)/0.5) AS tile_y
 FROM facts f JOIN vr USING (cluster_id) JOIN sites s ON s.cluster_id = f.cluster_id WHERE n_votes > 0 AND NOT coalesce(CAST(best.c AS DOUBLE) - CAST(rival AS DOUBLE) < 0.1, false)""")
 def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters with a label that is settled, with their place and tile: what training may use."""
     v = k._voted(spark, sf_dir).withColumn("won", scoring.resolved(F.col("votes"))).where("won is not null")
-    tile = lambda c: geo.cell(F.col(c), 0.5).cast("double")
+    tile = lambda c: geo.cell(F.round(c, 6), 0.5).cast("double")
     return v.select("cluster_id", F.col("won.label").alias("label"), r("won.confidence", 2).alias("confidence"), r("lon", 5).alias("lon"), r("lat", 5).alias("lat"), tile("lon").alias("tile_x"), tile("lat").alias("tile_y"))
 
 
