@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_urls(spark):
-    rows = [(1, None), (2, "nourl"), (3, "http://NET/"), (4, "http://a.net"), (5, "https://x.Example.NET/en/a?b"), (6, "http://example.com/de/#x"), (7, "ftp://ab.org/fr/"), (8, "http://badexample.net/en/"), (9, "http://c.com/Best-CASINO/x"), (10, "http://c.com/casinos"), (11, "a://b://net/"), (12, "http://É.org/fr/é"), (13, ""), (13, "")]
+    rows = [(1, None), (2, "nourl"), (3, "http://NET/"), (4, "http://a.net"), (5, "https://x.Example.NET/en/a?b"), (6, "http://example.com/de/#x"), (7, "ftp://ab.org/fr/"), (8, "http://badexample.net/en/"), (9, "http://c.com/Best-CASINO/x"), (10, "http://c.com/casinos"), (11, "a://b://net/"), (12, "http://É.org/fr/é"), (14, "http://écasino.com/"), (15, "http://x.com/é/xxx"), (13, ""), (13, "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, host string")
     con = duckdb.connect()
     con.register("pages", df.toPandas())
@@ -29,6 +29,29 @@ def test_url_rules_index_complete_tokens_only():
         urls.judged(None, rules=[urls.Rule("r", "block", ".", ())])
 
 
+def test_url_rules_of_a_table(spark):
+    words = [f"bad{i}" for i in range(2000)] + ["Two-Words", "é"]
+    hosts = [f"h{i}.Org/p/" for i in range(1000)]
+    rows = [("word", "block", w) for w in words] + [("host", "block", h) for h in hosts] + [("host", "allow", "h7.org/p/q"), ("word", "block", None), ("word", "block", "bad1")]
+    table = spark.createDataFrame(rows, "kind string, verdict string, text string")
+    rules = urls.rules_from(table)
+    assert len(rules) == len(words) + len(hosts) + 1
+    with pytest.raises(ValueError):
+        urls.rules_from(table, most=3000)
+    found = [f"http://a{i}.com/x/BAD{i}-y" for i in range(0, 2400, 80)] + [f"http://w.h{i}.org/p/q" for i in (3, 7, 999, 1000)]
+    found += ["http://a.com/two-words", "http://two-words2.com/", "http://É.com/é", "http://a.com/" + "x/" * 40000 + "bad5", None]
+    judged = urls.judged(spark.createDataFrame(list(enumerate(found)), "page_id long, url string"), rules=rules).collect()
+    expressions = [(r, re.compile(r.pattern)) for r in rules]
+    for row in judged:
+        fits = [r for r, e in expressions if e.search("\n".join(urls.split(found[row["page_id"]])))]
+        best = min(fits, key=lambda r: (-r.weight, r.name), default=None)
+        assert (row["rule"] or row["pattern"], row["verdict"]) == ((best.name, best.verdict) if best else (None, "allow"))
+    # common tokens (org, p) index nothing where a rarer one is at hand
+    tokens = [urls.tokens(*urls.split(u)) for u in found]
+    index = urls.index_of(rules, {t: sum(t in own for own in tokens) for own in tokens for t in own})
+    assert max(sum(len(index.get(t, ())) for t in own) for own in tokens) <= 3
+
+
 def test_licences(spark):
     rows = [(1, None), (2, ""), (3, "Under the MIT license. UNDER the MIT\nLicense; under the mit licénse"), (4, "cc-by-nc cc by nc"), (4, "under the GNU general public license version 3"), (6, "apache license version 2 apache license version 20 apache License, Version 2.0"), (8, "é ß under the mit license 中文"), (9, "\x00cc\x00by\x00nc"), (10, "x " * 3000 + "cc by nc")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, words int")
