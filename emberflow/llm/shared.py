@@ -298,3 +298,16 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
         raise RuntimeError(f"{name}: no fixed point after {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+# --- DuckDB ----------------------------------------------------------------------------------------
+
+#: Tables of WITH RECURSIVE: crcs(t) has the list of the 256 steps of the reflected CRC-32 polynomial.
+CRC_TABLES = """bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, where crcs is joined."""
+    return f"""CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda s, x: xor(s // 256, t[CAST(xor(s % 256, x) AS BIGINT) + 1])), 4294967295) AS BIGINT)"""
