@@ -112,24 +112,28 @@ def members(conversations: DataFrame, period: int = 0, most: int = MOST, conv_id
     return top.unionByName(low)
 
 
-def _piece(batches):
-    """Members sorted by node and id: (node, first id, ids joined by commas), in pieces."""
-    node, first, ids, size = None, 0, [], 0
+def _pieces(most: int = PIECE):
+    """mapInArrow function over members sorted by node and id: (node, first id, ids joined by commas), in pieces."""
 
-    def made():
-        return pa.RecordBatch.from_pydict({"depth": [node[0]], "k1": [node[1]], "k2": [node[2]], "first": [first], "ids": [",".join(ids)]})
+    def work(batches):
+        node, first, ids, size = None, 0, [], 0
 
-    for batch in batches:
-        for *own, c in zip(*(batch.column(x).to_pylist() for x in (*_KEY, "conv")), strict=True):
-            if node is not None and (own != node or size > PIECE):
-                yield made()
-                ids, size = [], 0
-            if not ids:
-                node, first = own, c
-            ids.append(str(c))
-            size += len(ids[-1]) + 1
-    if ids:
-        yield made()
+        def made():
+            return pa.RecordBatch.from_pydict({"depth": [node[0]], "k1": [node[1]], "k2": [node[2]], "first": [first], "ids": [",".join(ids)]})
+
+        for batch in batches:
+            for *own, c in zip(*(batch.column(x).to_pylist() for x in (*_KEY, "conv")), strict=True):
+                if ids and (own != node or size > most):
+                    yield made()
+                    ids, size = [], 0
+                if not ids:
+                    node, first = own, c
+                ids.append(str(c))
+                size += len(ids[-1]) + 1
+        if ids:
+            yield made()
+
+    return work
 
 
 def _digest(batches):
@@ -154,7 +158,7 @@ def _ends(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(depth, k1, k2, sha) of nodes at which several conversations end."""
     several = rows.where("ends").join(nodes.where("n_ends > 1").select(_KEY), _KEY, "left_semi").select(*_KEY, "conv")
     order = [*_KEY, "conv"]
-    pieces = several.repartitionByRange(_parts(rows), *order).sortWithinPartitions(*order).mapInArrow(_piece, "depth long, k1 long, k2 long, first long, ids string")
+    pieces = several.repartitionByRange(_parts(rows), *order).sortWithinPartitions(*order).mapInArrow(_pieces(), "depth long, k1 long, k2 long, first long, ids string")
     return pieces.repartition(*_KEY).sortWithinPartitions(*_KEY, "first").mapInArrow(_digest, "depth long, k1 long, k2 long, sha string")
 
 
