@@ -7,12 +7,12 @@ import json
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scoring
+from . import explain
 
 #: Stands for a missing value, far from any real one, so that a split can set it apart.
 MISSING = -9999.0
@@ -47,10 +47,6 @@ def f1(predicted: DataFrame, label: str = "label") -> DataFrame:
     return both.select("class", "actual", precision.alias("precision"), recall.alias("recall"), F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1"))
 
 
-def importances(model: PipelineModel, columns: list[str]) -> dict[str, float]:
-    return dict(zip(columns, map(float, model.stages[-1].featureImportances.toArray()), strict=True))
-
-
 def validate_order(model: PipelineModel, columns: list[str]) -> None:
     """A model must see its features in the order that it was trained with."""
     if list(model.stages[0].getInputCols()) != list(columns):
@@ -83,22 +79,26 @@ def load(folder: str, version: str = "latest") -> tuple[PipelineModel, dict[str,
 def classify(model: PipelineModel, vectors: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
     """Class, probabilities in class order, confidence weighted by the evidence at hand, and reasons.
 
-    The reasons name the columns that weigh most in the model as a whole, with a row's own values: they are importances
-    and no contributions to this one verdict.  A null or NaN is an unknown value; a row without any gets the least
-    confidence.
+    ``base`` and ``contributions`` (by feature, in the order of ``columns``) add up to the probability of the class; the
+    reasons name the ``top`` of them.  A null or NaN is an unknown value; a row without any gets the least confidence.
     """
+    return explained(explain.forest_of(model, len(C.CLASSES)), vectors, columns, top)
+
+
+def explained(forest: explain.Forest, vectors: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
+    """:func:`classify` by the nodes of a forest."""
     found = {g: scoring.group_present([F.col(c) for c in columns if C.FEATURES[c] == g]) for g in C.GROUP_WEIGHTS}
     weight, multiplier = scoring.evidence_multiplier(found)
-    weighed = sorted(importances(model, columns).items(), key=lambda x: (-x[1], x[0]))[:top]
-    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    reason = lambda c, share: F.when(known(c), F.format_string(f"{c.replace('_', ' ')} is %.2f (weighs {100 * share:.1f} %%)", F.col(c).cast("double")))
-    reasons = F.array_compact(F.array(*[reason(c, share) for c, share in weighed]))
-    own = vectors.select("cluster_id", weight.alias("evidence"), multiplier.alias("multiplier"), reasons.alias("reasons"))
-    raw = vector_to_array("probability")
-    padded = F.transform(F.sequence(F.lit(0), F.lit(len(C.CLASSES) - 1)), lambda i: F.coalesce(F.get(raw, i), F.lit(0.0)))
-    told = model.transform(prepared(vectors, columns)).select("cluster_id", padded.alias("probabilities"))
-    both = told.join(own, "cluster_id")
-    return both.select("cluster_id", scoring.top_class(F.col("probabilities")).alias("predicted_class"), "probabilities", scoring.confidence_score(F.col("probabilities"), F.col("multiplier")).alias("confidence"), "evidence", "reasons")
+    x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING)) for c in columns])
+    told = vectors.select("cluster_id", weight.alias("evidence"), multiplier.alias("multiplier"), x.alias("x")).withColumn("probabilities", explain.shares(F.col("x"), forest))
+    told = told.withColumn("predicted_class", scoring.top_class(F.col("probabilities")))
+    of = F.array_position(F.array(*map(F.lit, C.CLASSES)), F.col("predicted_class")).cast("int") - 1
+    told = told.withColumn("why", explain.contributions(F.col("x"), of, forest, len(columns)))
+    parts = F.zip_with(F.array(*[F.lit(c.replace("_", " ")) for c in columns]), F.arrays_zip(F.col("x").alias("x"), F.col("why.contributions").alias("by")), lambda name, z: F.struct(F.abs(z["by"]).alias("size"), name.alias("name"), z["x"].alias("x"), z["by"].alias("by")))
+    counted = F.filter(F.reverse(F.array_sort(parts)), lambda z: z["size"] > 1e-9)
+    value = lambda z: F.when(z["x"] == MISSING, F.lit("is unknown")).otherwise(F.format_string("is %.2f", z["x"]))
+    reason = lambda z: F.concat(z["name"], F.lit(" "), value(z), F.format_string(" (%+.3f)", z["by"]))
+    return told.select("cluster_id", "predicted_class", "probabilities", scoring.confidence_score(F.col("probabilities"), F.col("multiplier")).alias("confidence"), "evidence", F.transform(F.slice(counted, 1, top), reason).alias("reasons"), F.col("why.base").alias("base"), F.col("why.contributions").alias("contributions"))
 
 
 CLASS_INDEX = {c: i for i, c in enumerate(C.CLASSES)}

@@ -85,11 +85,10 @@ def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.dedup_near(_fed(spark, sf_dir), ["feed_seq", "id"]).select("id", "feed_seq", "source")
 
 
-@query("""
-SELECT id, source FROM detections d WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM detections s WHERE s.id % 3 = 0 AND s.source = d.source AND round(s.lon,6) = round(d.lon,6) AND round(s.lat,6) = round(d.lat,6) AND s.acq_datetime = d.acq_datetime)""")
+@query(_FED + " SELECT id, feed_seq, source FROM fed d WHERE NOT EXISTS (SELECT 1 FROM detections s WHERE s.acq_datetime < TIMESTAMP '2024-01-16' AND s.source = d.source AND round(s.lon,6) = round(d.lon,6) AND round(s.lat,6) = round(d.lat,6) AND s.acq_datetime = d.acq_datetime)")
 def dedup_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.detections(spark, sf_dir)
-    return ingest.dedup_existing(d.where("id % 2 = 0"), d.where("id % 3 = 0")).select("id", "source")
+    """Both feeds against what was stored by the middle of the month."""
+    return ingest.dedup_existing(_fed(spark, sf_dir), views.detections(spark, sf_dir).where("acq_datetime < timestamp '2024-01-16'")).select("id", "feed_seq", "source")
 
 
 @query("SELECT id, source, lon, lat, acq_datetime FROM detections WHERE lon > 72 AND lon < 80 AND lat > 8 AND lat < 10 AND acq_datetime >= TIMESTAMP '2024-01-10' AND source = 'MODIS_NRT' ORDER BY acq_datetime DESC, id LIMIT 500")
@@ -102,13 +101,15 @@ def filter_bbox_since_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- clustering ------------------------------------------------------------------------------------
 
 
-@query("""
+_REACH = """
 , places AS (SELECT lon, lat, min(id) AS node FROM detections GROUP BY 1, 2),
 grid AS (SELECT *, floor(lon/0.005) AS cx, floor(lat/0.005) AS cy FROM places),
 edges AS (SELECT a.node AS a, b.node AS b FROM grid a, (SELECT g.*, cx + dx AS kx, cy + dy AS ky FROM grid g, (SELECT unnest([-1,0,1]) AS dx), (SELECT unnest([-1,0,1]) AS dy)) b
   WHERE a.cx = b.kx AND a.cy = b.ky AND pow(a.lon-b.lon,2)+pow(a.lat-b.lat,2) <= 0.005*0.005),
-reach AS (WITH RECURSIVE walk(node, seen) AS (SELECT node, node FROM places UNION SELECT w.node, e.b FROM walk w JOIN edges e ON e.a = w.seen) SELECT node, min(seen) AS component FROM walk GROUP BY 1)
-SELECT component, count(*) AS n, count(DISTINCT (d.lon, d.lat)) AS n_places FROM detections d JOIN places p USING (lon, lat) JOIN reach USING (node) GROUP BY 1""")
+reach AS (WITH RECURSIVE walk(node, seen) AS (SELECT node, node FROM places UNION SELECT w.node, e.b FROM walk w JOIN edges e ON e.a = w.seen) SELECT node, min(seen) AS component FROM walk GROUP BY 1)"""
+
+
+@query(_REACH + "\nSELECT component, count(*) AS n, count(DISTINCT (d.lon, d.lat)) AS n_places FROM detections d JOIN places p USING (lon, lat) JOIN reach USING (node) GROUP BY 1")
 def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clustering of all detections (eps 0.005 degrees, one point is enough)."""
     found = ingest.clustered(views.detections(spark, sf_dir), C.CLUSTER_EPS_DEGREES)

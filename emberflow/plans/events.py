@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geo, scoring
-from ..operators import features, ingest, state, temporal
+from ..operators import explain, features, ingest, models, state, temporal
 from ..sources import views
 from . import catalog as k
 from .catalog import query, r
@@ -106,12 +106,15 @@ im AS (SELECT vec_id AS cluster_id, avg(ndvi) AS ndvi, avg(ndbi) AS ndbi, avg(rb
 _ROUNDED = {c: 3 if c in ("facility_distance_m", "dozier_temp", "smoke_red_blue_ratio") else 4 for c in C.FEATURES}
 
 
-@query(_VECTOR + " SELECT cluster_id, " + ", ".join(f"round(CAST({c} AS DOUBLE),{n}) AS {c}" for c, n in _ROUNDED.items()) + """ FROM (
+_VECTOR_ROWS = """
 SELECT th.*, pct_cropland, pct_forest, pct_urban, distance_m AS facility_distance_m, exp(-distance_m/500) AS facility_prior_weight, population_density, CASE WHEN distance_m < 1000 THEN 1 WHEN distance_m >= 1000 THEN 0 END AS near_facility, spatial_extent_km, spatial_growth_rate, fire_k AS dozier_temp, ndvi, ndbi, rb AS smoke_red_blue_ratio,
   CASE WHEN n_base >= 2 THEN CASE WHEN base_std = 0 THEN CASE WHEN abs(frp_max-base_mean) <= 1e-9*greatest(abs(frp_max),abs(base_mean)) THEN 0 WHEN frp_max > base_mean THEN 3 ELSE -3 END ELSE (frp_max-base_mean)/base_std END END AS frp_zscore,
   CASE WHEN ry.n >= 8 AND k >= 2 THEN greatest(0,least(1,1-h/ln(k))) END AS shift_sharpness, CASE WHEN ry.n >= 8 AND ry.span_days >= 14 THEN CASE WHEN wd <= 0 THEN CASE WHEN we > 0 THEN -1 END ELSE greatest(-1,least(1,(wd-we)/wd)) END END AS weekend_suppression,
   CASE WHEN critical THEN 0 WHEN rising THEN q[3] END AS kalman_time_to_critical
-FROM th JOIN extents USING (cluster_id) LEFT JOIN best USING (cluster_id) LEFT JOIN cv USING (cluster_id) LEFT JOIN base USING (cluster_id) LEFT JOIN im USING (cluster_id) LEFT JOIN fire USING (cluster_id) LEFT JOIN ry USING (cluster_id) LEFT JOIN esc USING (cluster_id))""")
+FROM th JOIN extents USING (cluster_id) LEFT JOIN best USING (cluster_id) LEFT JOIN cv USING (cluster_id) LEFT JOIN base USING (cluster_id) LEFT JOIN im USING (cluster_id) LEFT JOIN fire USING (cluster_id) LEFT JOIN ry USING (cluster_id) LEFT JOIN esc USING (cluster_id)"""
+
+
+@query(_VECTOR + " SELECT cluster_id, " + ", ".join(f"round(CAST({c} AS DOUBLE),{n}) AS {c}" for c, n in _ROUNDED.items()) + f" FROM ({_VECTOR_ROWS})")
 def event_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 28 features of every cluster."""
     return vector(spark, sf_dir).select("cluster_id", *[r(F.col(c).cast("double"), n).alias(c) for c, n in _ROUNDED.items()])
@@ -127,6 +130,46 @@ def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("cluster_id", F.col("won.label").alias("label"), r("won.confidence", 2).alias("confidence"), r("lon", 5).alias("lon"), r("lat", 5).alias("lat"), tile("lon").alias("tile_x"), tile("lat").alias("tile_y"))
 
 
+# --- reasons ---------------------------------------------------------------------------------------
+
+#: A forest of given trees, for verdicts that SQL can follow; fitted ones have the same form.  A split has the feature, the
+#: threshold and the class shares before it; a leaf only has shares.
+GIVEN_FOREST = explain.given(
+    list(C.FEATURES),
+    ("frp_mean", 48.0, [0.30, 0.31, 0.19, 0.10, 0.10], [0.10, 0.52, 0.18, 0.10, 0.10], ("facility_distance_m", 900.0, [0.50, 0.10, 0.20, 0.11, 0.09], [0.81, 0.06, 0.04, 0.05, 0.04], [0.10, 0.11, 0.59, 0.12, 0.08])),
+    ("n_detections", 130.0, [0.20, 0.21, 0.29, 0.20, 0.10], ("frp_max", 150.0, [0.10, 0.12, 0.48, 0.21, 0.09], [0.05, 0.06, 0.68, 0.12, 0.09], [0.11, 0.10, 0.28, 0.41, 0.10]), ("persistence_days", 29.5, [0.40, 0.39, 0.06, 0.10, 0.05], [0.21, 0.58, 0.11, 0.06, 0.04], [0.61, 0.19, 0.01, 0.14, 0.05])),
+    ("night_fraction", 0.5, [0.25, 0.26, 0.19, 0.20, 0.10], [0.36, 0.34, 0.09, 0.11, 0.10], ("pct_forest", 0.3, [0.10, 0.12, 0.38, 0.30, 0.10], [0.11, 0.09, 0.49, 0.22, 0.09], ("frp_mean", 50.0, [0.09, 0.12, 0.21, 0.48, 0.10], [0.08, 0.11, 0.22, 0.50, 0.09], [0.12, 0.13, 0.19, 0.44, 0.12]))),
+)
+
+
+def _explain_sql() -> str:
+    """Walks a table of the nodes, a split a step."""
+    names = list(C.FEATURES)
+    nodes = ", ".join(f"({t}, {i}, {n['f']}, {n['t']!r}::DOUBLE, {n['l']}, {n['r']}, {n['p']!r}::DOUBLE[])" for t, tree in enumerate(GIVEN_FOREST) for i, n in enumerate(tree))
+    used = sorted({n["f"] for tree in GIVEN_FOREST for n in tree if n["f"] >= 0})
+    values = " UNION ALL ".join(f"SELECT cluster_id, {i} AS f, CAST({names[i]} AS DOUBLE) AS v FROM vec" for i in used)
+    means = ", ".join(f"avg(p[{i}])" for i in range(1, len(C.CLASSES) + 1))
+    return f"""
+, nodes(tree, node, f, t, l, r, p) AS (VALUES {nodes}),
+vec AS ({_VECTOR_ROWS}),
+x AS (SELECT cluster_id, f, coalesce(v, -9999) AS v FROM ({values})),
+walk AS (WITH RECURSIVE w(cluster_id, tree, f, node, before, p) AS (
+  SELECT cluster_id, tree, CAST(NULL AS INTEGER), node, CAST(NULL AS DOUBLE[]), p FROM vec, nodes WHERE node = 0
+  UNION ALL SELECT w.cluster_id, w.tree, n.f, c.node, w.p, c.p FROM w JOIN nodes n ON n.tree = w.tree AND n.node = w.node JOIN x ON x.cluster_id = w.cluster_id AND x.f = n.f JOIN nodes c ON c.tree = n.tree AND c.node = CASE WHEN x.v <= n.t THEN n.l ELSE n.r END WHERE n.f >= 0
+) SELECT * FROM w),
+told AS (SELECT cluster_id, q, list_position(q, list_max(q)) AS c FROM (SELECT cluster_id, [{means}] AS q FROM (SELECT w.cluster_id, w.p FROM walk w JOIN nodes n USING (tree, node) WHERE n.f < 0) GROUP BY 1))
+SELECT cluster_id, {list(C.CLASSES)!r}[c] AS predicted_class, round(q[c], 9) AS probability, round((SELECT avg(p[c]) FROM nodes WHERE node = 0), 9) AS base, {names!r}[f + 1] AS feature, round(sum(p[c] - before[c]) / {len(GIVEN_FOREST)}, 9) AS contribution
+FROM told JOIN walk USING (cluster_id) WHERE f IS NOT NULL GROUP BY cluster_id, q, c, f HAVING abs(sum(p[c] - before[c])) > 1e-9"""
+
+
+@query(_VECTOR + _explain_sql())
+def explain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature adds to the probability of a cluster's class, by the given forest."""
+    told = models.explained(GIVEN_FOREST, vector(spark, sf_dir), list(C.FEATURES))
+    parts = told.select("cluster_id", "predicted_class", r(F.array_max("probabilities"), 9).alias("probability"), r("base", 9).alias("base"), F.posexplode("contributions").alias("f", "by"))
+    return parts.where(F.abs("by") * len(GIVEN_FOREST) > 1e-9).select("cluster_id", "predicted_class", "probability", "base", F.element_at(F.array(*map(F.lit, C.FEATURES)), F.col("f") + 1).alias("feature"), r("by", 9).alias("contribution"))
+
+
 # --- corridors -------------------------------------------------------------------------------------
 
 _GATED = k._FACTS + k._CORR[len(k._TRAJ) :] + """

@@ -69,6 +69,62 @@ def weather(points: DataFrame) -> DataFrame:
     return wide.where((n.cast("long") + F.col("cluster_id")) % 3 != 0).select("cluster_id", "hour", ((index % 29).cast("double") / 2.9).alias("wind_speed"), (index * 37 % 360).cast("double").alias("wind_direction"), ((index * 13 % 101).cast("double") / 1e2).alias("cloud"), F.hour("hour").between(6, 17).alias("is_day"))
 
 
+#: Spacing of the made-up road network in degrees, and how far it reaches around a place.
+ROAD_STEP, ROAD_REACH = 0.02, 6
+#: Cells of 0.01 degrees on a side of a raster block.
+BLOCK = 8
+
+
+def _around(places: DataFrame, step: float, reach: int) -> DataFrame:
+    """Distinct grid cells (ix, iy) around places."""
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    at = places.select(F.floor(F.round("lon", 6) / step).cast("long").alias("x"), F.floor(F.round("lat", 6) / step).cast("long").alias("y")).distinct()
+    wide = at.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+    return wide.select((F.col("x") + F.col("dx")).alias("ix"), (F.col("y") + F.col("dy")).alias("iy")).distinct()
+
+
+def road_nodes(places: DataFrame) -> DataFrame:
+    """Crossings (target_id, t_lon, t_lat) of a made-up road network around places."""
+    c = _around(places, ROAD_STEP, ROAD_REACH).where((F.col("ix") * 7 + F.col("iy") * 11) % 10 != 0)
+    return c.select((F.col("ix") * 100_000 + F.col("iy")).alias("target_id"), "ix", "iy", ((F.col("ix").cast("double") + 5e-1) * ROAD_STEP).alias("t_lon"), ((F.col("iy").cast("double") + 5e-1) * ROAD_STEP).alias("t_lat"))
+
+
+def roads(places: DataFrame) -> DataFrame:
+    """Its edges (a, b, weight in metres), both ways."""
+    n = road_nodes(places).select("target_id", "ix", "iy")
+    to = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("ix") + x).alias("jx"), (F.col("iy") + y).alias("jy")) for d, x, y in ((0, 1, 0), (1, 0, 1))]))
+    one = n.select(F.col("target_id").alias("a"), "ix", "iy", to.alias("e")).where((F.col("ix") * 3 + F.col("iy") * 5 + F.col("e.d")) % 9 != 0)
+    one = one.select("a", (F.col("e.jx") * 100_000 + F.col("e.jy")).alias("b"), (2000 + (F.col("ix") * 13 + F.col("iy") * 29 + F.col("e.d") * 7) % 700).alias("weight"))
+    one = one.join(n.select(F.col("target_id").alias("b")), "b", "left_semi").select("a", "b", "weight")
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+
+
+def ways(f: DataFrame) -> DataFrame:
+    """Two made-up ways (way_id, rings) near each facility: squares, some with a hole, some that don't close."""
+    key = F.col("facility_id")
+    w = f.select(key, "f_lon", "f_lat", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    half = 4e-4 + (key % 4).cast("double") * 3e-4
+    x = F.col("f_lon") + ((key * 7 + F.col("k") * 5) % 9 - 4).cast("double") * 5e-4
+    y = F.col("f_lat") + ((key * 11 + F.col("k") * 3) % 9 - 4).cast("double") * 5e-4
+    corner = lambda a, b, h: F.struct((x + a * h).alias("lon"), (y + b * h).alias("lat"))
+    square = lambda h: F.array(*[corner(a, b, h) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    outer = F.when((key + F.col("k")) % 4 == 3, F.slice(square(half), 1, 4)).otherwise(square(half))
+    return w.select((key * 2 + F.col("k")).alias("way_id"), F.when((key + F.col("k")) % 5 == 0, F.array(outer, square(half / 2))).otherwise(F.array(outer)).alias("rings"))
+
+
+def cover_code(gx: Column, gy: Column) -> Column:
+    """The made-up land cover of a cell of 0.01 degrees; 0 is no data."""
+    codes = F.array(*map(F.lit, (10, 20, 40, 50, 60, 80, 90, 95)))
+    return F.when((gx * 3 + gy * 5) % 11 == 0, 0).otherwise(F.element_at(codes, ((gx * 7 + gy * 13) % 8 + 1).cast("int")))
+
+
+def cover_blocks(places: DataFrame) -> DataFrame:
+    """The raster around places as blocks (bx, by, codes: row by row), as a tiled file has them."""
+    b = _around(places, 0.01 * BLOCK, 2).withColumnsRenamed({"ix": "bx", "iy": "by"})
+    cell = lambda i: cover_code(F.col("bx") * BLOCK + i % BLOCK, F.col("by") * BLOCK + F.floor(i / BLOCK).cast("long"))
+    return b.select("bx", "by", F.transform(F.sequence(F.lit(0), F.lit(BLOCK * BLOCK - 1)), cell).alias("codes"))
+
+
 #: The same views for DuckDB.
 ORACLE = """
 b AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props,'$.k') AS INTEGER) AS k, user_id // 2 AS site FROM events),
@@ -91,3 +147,11 @@ wide AS (SELECT DISTINCT cluster_id, date_trunc('hour', acq_datetime) + to_hours
 weather AS (SELECT cluster_id, hour, CAST(i % 29 AS DOUBLE)/2.9 AS wind_speed, CAST(i*37 % 360 AS DOUBLE) AS wind_direction, CAST(i*13 % 101 AS DOUBLE)/1e2 AS cloud, hour(hour) BETWEEN 6 AND 17 AS is_day
   FROM (SELECT cluster_id, hour, CAST(epoch(hour)/3600 AS BIGINT) AS n, CAST(epoch(hour)/3600 AS BIGINT) + cluster_id*7 AS i FROM wide) WHERE (n + cluster_id) % 3 <> 0)
 """
+
+ORACLE_ROADS = f"""
+, road_at AS (SELECT DISTINCT CAST(floor(round(lon,6)/{ROAD_STEP}) AS BIGINT) AS x, CAST(floor(round(lat,6)/{ROAD_STEP}) AS BIGINT) AS y FROM sites),
+crossings AS (SELECT DISTINCT x + dx AS ix, y + dy AS iy, (x + dx)*100000 + y + dy AS node, (CAST(x + dx AS DOUBLE) + 5e-1)*{ROAD_STEP} AS t_lon, (CAST(y + dy AS DOUBLE) + 5e-1)*{ROAD_STEP} AS t_lat
+  FROM road_at, (SELECT unnest(range(-{ROAD_REACH}, {ROAD_REACH + 1})) AS dx), (SELECT unnest(range(-{ROAD_REACH}, {ROAD_REACH + 1})) AS dy) WHERE ((x + dx)*7 + (y + dy)*11) % 10 <> 0),
+road1 AS (SELECT c.node AS a, (ix + 1 - d)*100000 + iy + d AS b, 2000 + (ix*13 + iy*29 + d*7) % 700 AS weight FROM crossings c, (SELECT unnest([0, 1]) AS d) WHERE (ix*3 + iy*5 + d) % 9 <> 0),
+road2 AS (SELECT a, b, weight FROM road1 WHERE b IN (SELECT node FROM crossings)),
+roads AS (SELECT a, b, weight FROM road2 UNION ALL SELECT b, a, weight FROM road2)"""
