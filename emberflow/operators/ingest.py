@@ -76,12 +76,21 @@ def within_radius(points: DataFrame, facilities: DataFrame, radius_m: float, max
     return at.join(near, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
 
 
+def contracted(points: DataFrame, eps: float) -> DataFrame:
+    """Points (node, lon, lat) with ``rep``: the smallest node of their cell of side eps / sqrt(2), whose points are all
+    within eps of each other."""
+    side = eps * (0.5**0.5) * (1 - 1e-9)
+    celled = points.withColumn("_cx", geo.cell(F.col("lon"), side)).withColumn("_cy", geo.cell(F.col("lat"), side))
+    least = celled.groupBy("_cx", "_cy").agg(F.min("node").alias("rep"))
+    return celled.join(least, ["_cx", "_cy"]).drop("_cx", "_cy")
+
+
 def eps_edges(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b), a < b: points (node, lon, lat) within eps degrees."""
-    other = points.select(F.col("node").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    pairs = grid_pairs(points.withColumnRenamed("node", "a"), other, eps, eps, ("lon", "lat"), ("lon2", "lat2"))
+    """(a, b), a < b: representatives of contracted points (rep, lon, lat) of which some pair is within eps degrees."""
+    other = points.select(F.col("rep").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    pairs = grid_pairs(points.select(F.col("rep").alias("a"), "lon", "lat"), other, eps, eps, ("lon", "lat"), ("lon2", "lat2"))
     dx, dy = F.col("lon") - F.col("lon2"), F.col("lat") - F.col("lat2")
-    return pairs.where((F.col("a") < F.col("b")) & (dx * dx + dy * dy <= eps * eps)).select("a", "b")
+    return pairs.where((F.col("a") < F.col("b")) & (dx * dx + dy * dy <= eps * eps)).select("a", "b").distinct()
 
 
 def _staged(df: DataFrame) -> DataFrame:
@@ -121,11 +130,12 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def clustered(points: DataFrame, eps: float, key: str = "id") -> DataFrame:
     """The points with component: density-connected at eps with one point enough (noise is a cluster of its own).
 
-    Points of one place are one node, so a site that is seen every day costs one point.
+    Points of one place are one node, so a site that is seen every day costs one point; links are closed over small cells
+    that are whole components, not over places.
     """
-    places = points.groupBy("lon", "lat").agg(F.min(key).alias("node"))
-    found = connected(eps_edges(places, eps))
-    named = places.join(found, "node", "left").select("lon", "lat", F.coalesce("component", "node").alias("component"))
+    places = contracted(points.groupBy("lon", "lat").agg(F.min(key).alias("node")), eps)
+    found = connected(eps_edges(places, eps)).withColumnRenamed("node", "rep")
+    named = places.join(found, "rep", "left").select("lon", "lat", F.coalesce("component", "rep").alias("component"))
     return points.join(named, ["lon", "lat"])
 
 
