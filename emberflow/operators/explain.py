@@ -51,7 +51,9 @@ def forest_of(model: PipelineModel, n_classes: int) -> Forest:
             if node.subtreeDepth() > 0:
                 nodes[0][at] |= {"f": node.split().featureIndex(), "t": node.split().threshold()}
                 waiting += [(node.rightChild(), at, "r"), (node.leftChild(), at, "l")]
-        out += nodes
+        # a tree whose draw of the rows was empty knows no shares and has no vote
+        if sum(nodes[0][0]["p"]):
+            out += nodes
     return out
 
 
