@@ -319,3 +319,37 @@ def test_passages_of_texts_that_repeat_a_line(spark):
         longest[key] = max(longest[key], r.n_match)
     assert longest[frozenset((2, 3))] >= 2000
     assert longest[frozenset((0, 3))] >= 60
+
+
+@pytest.mark.parametrize("lines", [lambda i: (i % 4 * 15, 20), lambda i: (i * 7 % 41, 20), lambda i: (i * 5 % 29, 30)])
+def test_passages_meet_though_more_texts_than_a_group_hold_their_lines(spark, lines):
+    """Every seed of the passage is common; longer runs still tell the two texts that hold all of it."""
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    rows = [(i, " ".join(text(20) + passage + text(20))) for i in (500, 501)]
+    for i in range(160):
+        begin, n = lines(i)
+        rows.append((i, " ".join(text(20) + passage[begin : begin + n] + text(20))))
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    assert {frozenset((r.doc_id, r.partner_id)) for r in got} == {frozenset((500, 501))}
+    assert [(r.begin, r.end, r.n_match) for r in got] == [(20, 80, 60)]
+
+
+def test_passages_of_common_seeds_link_their_texts_with_one_that_holds_them(spark):
+    """300 texts hold a passage and as many others its lines, some with smaller hashes: each holder is linked with a holder."""
+    rng = random.Random(22)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    rows = [(i, " ".join(text(15) + passage + text(15))) for i in range(300)]
+    rows += [(1000 + i, " ".join(text(20) + passage[i % 4 * 15 : i % 4 * 15 + 15] + text(20))) for i in range(300)]
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    found = {x for r in got if r.n_match >= 60 for x in (r.doc_id, r.partner_id)}
+    assert found == set(range(300))
+
+
+def test_runs_count_each_seed_within_once():
+    at, width = np.array([0, 1, 10, 3, 3]), np.array([8, 8, 4, 4, 16])
+    index, place = passages._within(at, width, np.array([True, False, False, True, False]), 4)
+    assert place.tolist() == [0, 1, 2, 3, 4, 5, 10, *range(3, 16)]
+    assert index.tolist() == [0] * 5 + [1, 2] + [3] + [4] * 12
