@@ -137,21 +137,22 @@ def plume_length_m(wind: Column, cls: Column, frp: Column) -> Column:
     return F.greatest(F.lit(2000.0), F.least(base * (1.0 + F.least(F.coalesce(frp, F.lit(0.0)) / 500.0, F.lit(1.0))), F.lit(50000.0)))
 
 
-def plume_ring(lon: Column, lat: Column, east: Column, north: Column, length: Column, spread: Column, steps: int = 24) -> Column:
-    """Out along the right flank and back along the left: the contour of a tenth of the centreline's value.
+def plume_vertex(lon: Column, lat: Column, east: Column, north: Column, length: Column, spread: Column, part: Column, side: float) -> Column:
+    """struct(lon, lat) of the contour at a part of the plume's length, on the right (1) or the left (-1) flank.
 
     east and north are the direction of travel, spread the half width at the end; it grows as sigma_y does.
     """
-    end = spread * F.sqrt(1 + 1e-4 * length) / length  # half width by distance, but for the slow root
+    d = length * part
+    w = side * spread * F.sqrt(1 + 1e-4 * length) / length * d / F.sqrt(1 + 1e-4 * d)
+    y = lat + d * north / C.METRES_PER_DEGREE
+    x = lon + d * east / (C.METRES_PER_DEGREE * F.cos(F.radians(lat))) + w * north / (C.METRES_PER_DEGREE * F.cos(F.radians(y)))
+    return F.struct(x.alias("lon"), (y - w * east / C.METRES_PER_DEGREE).alias("lat"))
+
 
-    def flank(side: float):
-        def point(i: Column) -> Column:
-            d = length * i / steps
-            w = side * end * d / F.sqrt(1 + 1e-4 * d)
-            y = lat + d * north / C.METRES_PER_DEGREE
-            x = lon + d * east / (C.METRES_PER_DEGREE * F.cos(F.radians(lat))) + w * north / (C.METRES_PER_DEGREE * F.cos(F.radians(y)))
-            return F.struct(x.alias("lon"), (y - w * east / C.METRES_PER_DEGREE).alias("lat"))
+def plume_ring(lon: Column, lat: Column, east: Column, north: Column, length: Column, spread: Column, steps: int = 24) -> Column:
+    """Out along the right flank and back along the left: the contour of a tenth of the centreline's value."""
 
-        return F.transform(F.sequence(F.lit(0), F.lit(steps)), point)
+    def flank(side: float) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: plume_vertex(lon, lat, east, north, length, spread, i / steps, side))
 
     return F.concat(flank(1.0), F.reverse(flank(-1.0)))

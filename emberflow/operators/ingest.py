@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import geo
 from ..session import shared_folder
 
@@ -58,8 +61,6 @@ def within_radius(points: DataFrame, facilities: DataFrame, radius_m: float, max
     Cells are as wide as the radius at ``max_lat`` and go round the globe.  A facility is copied to all cells that its
     own latitude's circle reaches, which are more than three beyond ``max_lat`` and all of a row near a pole.
     """
-    import math
-
     lat = radius_m / 111_000.0
     n = max(1, math.floor(360.0 * math.cos(math.radians(max_lat)) / lat))
     width = 360.0 / n
@@ -76,6 +77,36 @@ def within_radius(points: DataFrame, facilities: DataFrame, radius_m: float, max
     return at.join(near, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
 
 
+def within_wedge(wedges: DataFrame, facilities: DataFrame, side: int = 10) -> DataFrame:
+    """Pairs of wedges (lon, lat, bearing, half_angle, length_km) and the facilities (f_lon, f_lat) of all cells of ``side``
+    degrees that a wedge may reach, with distance_m; whether a facility lies inside is left to the caller.
+
+    A facility has one cell; a wedge goes to the cells whose circumscribed circles come within its length and its angle,
+    however long it is, so that cells behind it or beside it are not met.
+    """
+    across, down = 360 // side, 180 // side
+    place = lambda x, start, n: F.least(F.greatest(F.floor((x - start) / side), F.lit(0)), F.lit(n - 1)).cast("int")
+    turned = F.pmod(F.col("f_lon") + 180.0, F.lit(360.0))
+    there = facilities.withColumn("_cell", place(F.col("f_lat"), -90.0, down) * across + place(turned, 0.0, across))
+
+    def reached(c: Column) -> Column:
+        x, south = F.pmod(c, F.lit(across)) * side - 180.0 + side / 2, F.floor(c / across) * side - 90.0
+        y = south + side / 2
+        # the corners nearer the equator are the farthest from the middle
+        wide = F.when(y > 0, south).otherwise(south + side)
+        radius = geo.haversine_m(x, y, x + side / 2, wide) * (1 + 1e-9) + 1.0
+        away = geo.haversine_m(F.col("lon"), F.col("lat"), x, y)
+        around = (away <= radius) | (away + radius >= math.pi * C.EARTH_RADIUS_M)
+        # a circle is seen from the apex under twice this angle
+        seen = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(radius / C.EARTH_RADIUS_M) / F.sin(away / C.EARTH_RADIUS_M)))) + 1e-6
+        off = geo.angular_difference(geo.bearing_deg(F.col("lon"), F.col("lat"), x, y), F.col("bearing"))
+        return (away - radius <= F.col("length_km") * 1000.0) & (around | (off <= F.col("half_angle") + seen))
+
+    cells = F.filter(F.sequence(F.lit(0), F.lit(across * down - 1)), reached)
+    distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
+    return wedges.withColumn("_cell", F.explode(cells)).join(there, "_cell").drop("_cell").withColumn("distance_m", distance)
+
+
 def contracted(points: DataFrame, eps: float) -> DataFrame:
     """Points (node, lon, lat) with ``rep``: the smallest node of their cell of side eps / sqrt(2), whose points are all
     within eps of each other."""

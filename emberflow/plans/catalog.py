@@ -221,8 +221,8 @@ _NEAR = f"""
 near AS (SELECT * FROM cand WHERE distance_m <= 5000)"""
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = views.sites(views.detections(spark, sf_dir))
+def _near(spark: SparkSession, sf_dir: str, sites: DataFrame | None = None) -> DataFrame:
+    points = sites or views.sites(views.detections(spark, sf_dir))
     return ingest.within_radius(points.select("cluster_id", "lon", "lat"), views.facilities(spark, sf_dir), C.SEARCH_RADIUS_M)
 
 
@@ -281,7 +281,11 @@ inside AS (SELECT cluster_id, state FROM sites s JOIN boxes b ON lon >= x AND lo
 @query(_RING + " SELECT s.cluster_id, state FROM sites s LEFT JOIN inside USING (cluster_id)")
 def point_in_polygon_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which state a cluster lies in: cells of the rings' boxes join the points, ray casting decides."""
-    points = views.sites(views.detections(spark, sf_dir)).select("cluster_id", "lon", "lat")
+    return _admin(spark, sf_dir, views.sites(views.detections(spark, sf_dir)))
+
+
+def _admin(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFrame:
+    points = sites.select("cluster_id", "lon", "lat")
     size = 5.0
     rings = _boxes(spark, sf_dir).select("state", "ring", geo.cell(F.col("west") - 70.0, size).alias("cx"), geo.cell(F.col("south") - 7.0, size).alias("cy"))
     keyed = points.withColumn("cx", geo.cell(F.col("lon") - 70.0, size)).withColumn("cy", geo.cell(F.col("lat") - 7.0, size))
@@ -375,14 +379,12 @@ _LENGTH_CLASSES = (50, 100, 200, 400, 800, 1600, 3200)
 
 
 def _threatened(corridors: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Facilities inside each wedge: one grid join for each class of lengths, wedges beyond the last meet all."""
+    """Facilities inside each wedge: one grid join for each class of lengths, and one for all wedges beyond the last."""
     classes = []
     for above, to in zip((0, *_LENGTH_CLASSES), _LENGTH_CLASSES, strict=False):
         some = corridors.where((F.col("length_km") > above) & (F.col("length_km") <= to))
         classes.append(ingest.within_radius(some, facilities, to * 1000.0))
-    rest = corridors.where(F.col("length_km") > _LENGTH_CLASSES[-1])
-    distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
-    classes.append(rest.crossJoin(facilities).withColumn("distance_m", distance))
+    classes.append(ingest.within_wedge(corridors.where(F.col("length_km") > _LENGTH_CLASSES[-1]), facilities))
     near = reduce(DataFrame.unionByName, classes)
     km = F.col("distance_m") / 1000.0
     off = geo.angular_difference(geo.bearing_deg(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat")), F.col("bearing"))
@@ -420,19 +422,37 @@ def _plumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("length_m", physics.plume_length_m(F.col("speed"), F.col("cls"), F.col("frp"))).withColumn("rise", physics.plume_rise(F.col("frp"), F.col("speed")))
 
 
-@query(_PLUME + f"""
-, pl4 AS (SELECT *, length_m/2 AS d, sin(radians(travel)) AS sn, cos(radians(travel)) AS cs, lat + length_m/2*cos(radians(travel))/111320.0 AS cy FROM pl3),
-pl5 AS (SELECT *, 2.146*{_SY}*d/sqrt(1+1e-4*d) AS w FROM pl4)
-SELECT id, cls AS stability, round(length_m,3) AS length_m, round(rise,4) AS plume_rise_m, round(2.146*sy,3) AS half_width_m, 50 AS n_points,
-  round(lat + length_m*cos(radians(travel))/111320.0,5) AS tip_lat, round(cy - w*sn/111320.0,5) AS middle_lat, round(lon + d*sn/(111320.0*cos(radians(lat))) + w*cs/(111320.0*cos(radians(cy))),5) AS middle_lon FROM pl5""")
+_HALF_WIDTH = _PLUME + f"""
+, pl4 AS (SELECT *, sin(radians(travel)) AS sn, cos(radians(travel)) AS cs FROM pl3),
+along AS (SELECT *, length_m*i/24 AS d FROM pl4, (SELECT unnest(range(25)) AS i)),
+flanks AS (SELECT *, 2.146*{_SY}*d/sqrt(1+1e-4*d) AS w, lat + d*cs/111320.0 AS cy, lon + d*sn/(111320.0*cos(radians(lat))) AS cx FROM along)"""
+
+
+@query(_HALF_WIDTH + """
+SELECT id, cls AS stability, round(length_m,3) AS length_m, round(rise,4) AS plume_rise_m, round(2.146*sy,3) AS half_width_m, round(lat + length_m*cs/111320.0,5) AS tip_lat,
+  round(cy - w*sn/111320.0,5) AS middle_lat, round(cx + w*cs/(111320.0*cos(radians(cy))),5) AS middle_lon FROM flanks WHERE i = 12""")
 def stability_plume_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stability, rise and footprint ring of every detection's plume: its tip and the right flank halfway."""
+    """Stability, rise and extent of every detection's plume: its tip and the right flank halfway."""
+    p, args = _footprints(spark, sf_dir)
+    middle, tip = physics.plume_vertex(*args, F.lit(0.5), 1.0), F.col("lat") + F.col("length_m") * F.col("north") / C.METRES_PER_DEGREE
+    return p.select("id", F.col("cls").alias("stability"), r("length_m", 3).alias("length_m"), r("rise", 4).alias("plume_rise_m"), r("spread", 3).alias("half_width_m"), r(tip, 5).alias("tip_lat"), r(middle["lat"], 5).alias("middle_lat"), r(middle["lon"], 5).alias("middle_lon"))
+
+
+def _footprints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
+    """The plumes, and the columns that their contours are drawn from."""
     travel = F.radians(geo.downwind(F.col("direction")))
     p = _plumes(spark, sf_dir).withColumn("spread", C.LATERAL_MULTIPLE * physics.sigma_y(F.col("length_m"), F.col("cls"))).withColumn("east", F.sin(travel)).withColumn("north", F.cos(travel))
-    q = p.withColumn("ring", physics.plume_ring(F.col("lon"), F.col("lat"), F.col("east"), F.col("north"), F.col("length_m"), F.col("spread")))
-    # the flanks' last points lie opposite each other across the tip
-    tip, middle = (F.get("ring", F.lit(24))["lat"] + F.get("ring", F.lit(25))["lat"]) / 2, F.get("ring", F.lit(12))
-    return q.select("id", F.col("cls").alias("stability"), r("length_m", 3).alias("length_m"), r("rise", 4).alias("plume_rise_m"), r("spread", 3).alias("half_width_m"), F.size("ring").alias("n_points"), r(tip, 5).alias("tip_lat"), r(middle["lat"], 5).alias("middle_lat"), r(middle["lon"], 5).alias("middle_lon"))
+    return p, [F.col(c) for c in ("lon", "lat", "east", "north", "length_m", "spread")]
+
+
+@query(_HALF_WIDTH + """
+SELECT id, i AS seq, round(cx + w*cs/(111320.0*cos(radians(cy))),5) AS lon, round(cy - w*sn/111320.0,5) AS lat FROM flanks
+UNION ALL SELECT id, 49 - i, round(cx - w*cs/(111320.0*cos(radians(cy))),5), round(cy + w*sn/111320.0,5) FROM flanks""")
+def plume_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vertices of every detection's plume, in the order of its ring."""
+    p, args = _footprints(spark, sf_dir)
+    v = p.select("id", F.posexplode(physics.plume_ring(*args)).alias("seq", "v"))
+    return v.select("id", F.col("seq").cast("long").alias("seq"), r("v.lon", 5).alias("lon"), r("v.lat", 5).alias("lat"))
 
 
 @query(_PLUME + " SELECT id, round(1e6*(1000.0/(2*pi()*u*sy*sz))*exp(-(50.0*50.0)/(2*sy*sy))*(exp(-pow(2-rise,2)/(2*sz*sz))+exp(-pow(2+rise,2)/(2*sz*sz))),4) AS micrograms FROM pl3")
@@ -532,8 +552,8 @@ pt1 AS (SELECT *, 0.40*CASE WHEN span_days > 0 THEN least(span_days/30,1) ELSE 0
 ptsi AS (SELECT cluster_id, score, CASE WHEN score >= 0.6 THEN 'persistent' WHEN score >= 0.3 THEN 'intermittent' ELSE 'transient' END AS source_class, (current-mean)/std AS sigma, CASE WHEN mean > 0 THEN current/mean END AS multiple, abs((current-mean)/std) < 3 AS normal, mean, std, current FROM pt1)"""
 
 
-def _ptsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.detections(spark, sf_dir)
+def _ptsi(spark: SparkSession, sf_dir: str, points: DataFrame | None = None) -> DataFrame:
+    d = points or views.detections(spark, sf_dir)
     best = temporal.slots(d).groupBy("cluster_id").agg(F.max("rate").alias("rate"), F.first("span_days").alias("span_days"))
     current = d.groupBy("cluster_id").agg(F.max_by("frp", F.struct("acq_datetime", "id")).alias("current"))
     base = features.baseline(d).select("cluster_id", F.when(F.col("n_base") >= C.MIN_BASELINE, F.col("base_mean")).alias("mean"), F.when(F.col("n_base") >= C.MIN_BASELINE, F.greatest("base_std", F.lit(C.MIN_BASELINE_STD))).alias("std"))
@@ -589,7 +609,30 @@ def kalman_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("cluster_id", r("frp", 5).alias("frp"), r("rate").alias("rate"), r("var_frp", 4).alias("var_frp"), r("cov", 5).alias("cov"), r("var_rate").alias("var_rate"), "n_updates", r("mean_nis", 5).alias("mean_nis"))
 
 
-@query()
+_WALK = f"""
+, fs AS (SELECT cluster_id, t, f, row_number() OVER (PARTITION BY cluster_id ORDER BY t, f) AS rn FROM sr),
+walk AS (WITH RECURSIVE k(cluster_id, rn, t, f, r, a, b, d, recent, actual, predicted, std) AS (
+  SELECT cluster_id, rn, t, f, CAST(0 AS DOUBLE), {_NOISE.format(f='f')}, CAST(0 AS DOUBLE), pow(greatest(abs(f),5.0)/24.0, 2), CAST([] AS DOUBLE[]), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM fs WHERE rn = 1
+  UNION ALL
+  SELECT cluster_id, rn, t, pf + g*e, r + h*e, pa - g*pa, 0.5*((pb - g*pb) + (pb - h*pa)), pd - h*pb, list_append(CASE WHEN len(recent) >= 5 THEN recent[2:5] ELSE recent END, e*e/s), z, pf, 2.5*sqrt(greatest(va, 0)) FROM (
+    SELECT *, pa/s AS g, pb/s AS h, z - pf AS e FROM (
+      SELECT *, pa + {_NOISE.format(f='z')} AS s FROM (
+        SELECT *, a + 2*dt*b + dt*dt*d + q*u*dt*dt*dt/3.0 AS pa, b + dt*d + q*u*dt*dt/2.0 AS pb, d + q*u*dt AS pd, a + 2*dt*b + dt*dt*d + q*dt*dt*dt/3.0 + {_NOISE.format(f='greatest(pf,0)')} AS va FROM (
+          SELECT *, 1e-7*pow(greatest(abs(greatest(pf, f)),5.0),2) AS q, CASE WHEN len(recent) < 2 THEN 1.0 ELSE greatest(1.0, least(list_sum(recent)/len(recent), 25.0)) END AS u FROM (
+            SELECT k.cluster_id, n.rn, n.t, n.f AS z, k.f, k.r, k.a, k.b, k.d, k.recent, n.t - k.t AS dt, k.f + k.r*(n.t-k.t) AS pf FROM k JOIN fs n ON n.cluster_id = k.cluster_id AND n.rn = k.rn + 1)))))
+) SELECT *, abs(actual - predicted) AS error FROM k WHERE rn > 4)"""
+
+
+@query(_KALMAN[: _KALMAN.index(",\nkal AS")] + _WALK + " SELECT cluster_id, rn - 1 AS i, round(actual,6) AS actual, round(predicted,5) AS predicted, round(std,5) AS std FROM walk")
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was predicted for every observation after a cluster's fourth, from those before it."""
+    w = temporal.walk_forward(views.detections(spark, sf_dir))
+    return w.select("cluster_id", "i", r("actual").alias("actual"), r("predicted", 5).alias("predicted"), r("std", 5).alias("std"))
+
+
+@query(_KALMAN[: _KALMAN.index(",\nkal AS")] + _WALK + f"""
+, cal AS (SELECT cluster_id, count(*) AS n, avg(CASE WHEN error <= {C.Z50}*std THEN 1.0 ELSE 0.0 END) AS c50, avg(CASE WHEN error <= {C.Z90}*std THEN 1.0 ELSE 0.0 END) AS c90, avg(error) AS mae, quantile_cont(error, 0.5) AS median, avg((actual - predicted)/std) AS off FROM walk GROUP BY 1)
+SELECT cluster_id, n, round(c50,5) AS coverage_50, round(c90,5) AS coverage_90, round(mae,5) AS mae, round(median,5) AS median_error, round(off,5) AS mean_normalised, CASE WHEN c90 < 0.75 THEN 'OVERCONFIDENT' WHEN c90 > 0.98 THEN 'OVER-CONSERVATIVE' ELSE 'CALIBRATED' END AS verdict FROM cal""")
 def walk_forward_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = temporal.calibration(temporal.walk_forward(views.detections(spark, sf_dir)))
     return c.select("cluster_id", "n", *[r(x, 5).alias(x) for x in ("coverage_50", "coverage_90", "mae", "median_error", "mean_normalised")], "verdict")
@@ -615,16 +658,20 @@ _FACTS = _EXTENT + _BEST[_BEST.index(", cand"):] + _TRAJ + f"""
   CASE WHEN s.cluster_id % 4 <> 0 THEN CAST(s.cluster_id * 731 % 9000 AS DOUBLE) END AS built_m, CAST(s.cluster_id % 20 AS DOUBLE) AS people FROM sites s JOIN extents USING (cluster_id) LEFT JOIN best USING (cluster_id) JOIN traj USING (cluster_id))"""
 
 
+def _predicted() -> Column:
+    key = F.col("cluster_id")
+    return F.when(key % 7 != 0, F.element_at(F.array(*map(F.lit, C.CLASSES)), (key % 5 + 1).cast("int")))
+
+
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each cluster with what the hazard scores need; class, built-up distance and people are made up."""
     d = views.detections(spark, sf_dir)
     key = F.col("cluster_id")
-    predicted = F.when(key % 7 != 0, F.element_at(F.array(*map(F.lit, C.CLASSES)), (key % 5 + 1).cast("int")))
     parts = (features.extent_and_growth(d), _nearest(_near(spark, sf_dir)), features.trajectory(d).select("cluster_id", "rate_km_day", "bearing"))
     out = views.sites(d)
     for part, how in zip(parts, ("inner", "left", "inner"), strict=True):
         out = out.join(part, "cluster_id", how)
-    return out.withColumn("predicted", predicted).withColumn("built_m", F.when(key % 4 != 0, (key * 731 % 9000).cast("double"))).withColumn("people", (key % 20).cast("double"))
+    return out.withColumn("predicted", _predicted()).withColumn("built_m", F.when(key % 4 != 0, (key * 731 % 9000).cast("double"))).withColumn("people", (key % 20).cast("double"))
 
 
 _WUI = """
@@ -862,12 +909,14 @@ SELECT cluster_id, last_seen, state, predicted, CASE WHEN predicted='agricultura
 def dashboard_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship read: recent clusters inside the country, newest first, with everything the page shows."""
     d = views.detections(spark, sf_dir)
-    f = _facts(spark, sf_dir)
     newest = d.agg(F.max("acq_datetime").alias("newest"))
-    recent = f.crossJoin(F.broadcast(newest)).where(F.col("last_seen") >= F.col("newest") - F.expr("interval 3 days"))  # one row
-    inside = point_in_polygon_admin(spark, sf_dir).where("state is not null")
-    latest = d.groupBy("cluster_id").agg(F.max_by("source", F.struct("acq_datetime", "id")).alias("source"), F.avg("confidence").alias("confidence"))
-    page = recent.join(inside, "cluster_id").join(_ptsi(spark, sf_dir).select("cluster_id", "source_class", "normal"), "cluster_id").join(latest, "cluster_id")
+    # the recent clusters come first: what the page shows is built for them only
+    recent = views.sites(d).crossJoin(F.broadcast(newest)).where(F.col("last_seen") >= F.col("newest") - F.expr("interval 3 days"))  # one row
+    inside = _admin(spark, sf_dir, recent).where("state is not null")
+    theirs = d.join(recent.select("cluster_id"), "cluster_id", "left_semi")
+    latest = theirs.groupBy("cluster_id").agg(F.max_by("source", F.struct("acq_datetime", "id")).alias("source"), F.avg("confidence").alias("confidence"))
+    known = recent.join(_nearest(_near(spark, sf_dir, recent)), "cluster_id", "left").withColumn("predicted", _predicted())
+    page = known.join(inside, "cluster_id").join(_ptsi(spark, sf_dir, theirs).select("cluster_id", "source_class", "normal"), "cluster_id").join(latest, "cluster_id")
     rising = F.col("cluster_id") % 6 == 0
     return page.select(
         "cluster_id", "last_seen", "state", "predicted", detection.display_type(F.col("predicted"), F.col("facility_type")).alias("type"), detection.sensor_family(F.col("source")).alias("sensor"), detection.confidence_band(F.col("confidence")).alias("band"),

@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB on the smallest tables; jobs against what they stand for."""
 
 import json
+import math
+import random
 
 import duckdb
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberflow import constants as C
 from emberflow.functions import geo
-from emberflow.operators import features, models
+from emberflow.operators import features, ingest, models
 from emberflow.plans import catalog, events, jobs, places  # noqa: F401  places registers its queries
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +85,13 @@ def test_rings_as_geojson(spark):
     assert shape["type"] == "Polygon" and len(shape["coordinates"][0]) == 15 and shape["coordinates"][0][0] == shape["coordinates"][0][-1] and b.g is None
 
 
+def test_ring_is_made_of_its_vertices(spark):
+    """All 50 vertices of each ring, beginning and ending at the fire, its flanks opposite each other at the tip."""
+    got = catalog.QUERIES["plume_rings"](spark, SF).toPandas().sort_values(["id", "seq"]).groupby("id")
+    for (_, ring), _ in zip(got, range(50), strict=False):
+        assert list(ring.seq) == list(range(50)) and ring.lon.iloc[0] == ring.lon.iloc[49] and ring.lat.iloc[0] == ring.lat.iloc[49]
+
+
 def test_calibration_covers(spark):
     got = catalog.QUERIES["walk_forward_calibration"](spark, SF).toPandas()
     assert len(got) and got.coverage_90.between(0, 1).all() and (got.coverage_90 >= got.coverage_50).all()
@@ -123,3 +132,32 @@ def test_corridors_of_any_length(spark):
     got = catalog._threatened(wedges, spark.createDataFrame(facilities, "facility_id long, f_lon double, f_lat double")).collect()
     assert {(i, 10 * i) for i in range(len(lengths))} <= {(r.cluster_id, r.facility_id) for r in got}
     assert all((r.cluster_id, r.facility_id) != (i, 10 * i + 1) for r in got for i in range(len(lengths)))
+
+
+def test_long_wedges_against_all_pairs(spark):
+    """Wedges of thousands of kilometres over poles, the date line and the far side of the globe."""
+    rng = random.Random(5)
+    apexes = [(rng.uniform(-180, 180), rng.uniform(-89, 89)) for _ in range(40)] + [(180.0, 0.0), (-180.0, 45.0), (0.0, 89.9), (10.0, -89.9), (75.0, 20.0)]
+    wedges = [(i, x, y, rng.uniform(0, 360), 100.0, rng.choice([5.0, 20.0, 60.0, 90.0]), rng.choice([3300.0, 7000.0, 15000.0, 21000.0])) for i, (x, y) in enumerate(apexes)]
+    places = [(i, rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))) for i in range(300)] + [(900, 180.0, 10.0), (901, -180.0, -10.0), (902, 0.0, 90.0), (903, 0.0, -90.0), (904, 20.0, 0.0), (905, None, 3.0)]
+
+    def seen(x0, y0, x1, y1):
+        a, b, d = math.radians(y0), math.radians(y1), math.radians(x1 - x0)
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(d / 2) ** 2
+        return 12742 * math.asin(math.sqrt(h)), math.degrees(math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d))) % 360
+
+    want = set()
+    for i, x, y, bearing, _, half, length in wedges:
+        for j, fx, fy in places:
+            if fx is not None:
+                km, to = seen(x, y, fx, fy)
+                if km <= length and min(abs(to - bearing), 360 - abs(to - bearing)) <= half:
+                    want.add((i, j))
+    w = spark.createDataFrame(wedges, "cluster_id long, lon double, lat double, bearing double, rate_km_day double, half_angle double, length_km double")
+    f = spark.createDataFrame(places, "facility_id long, f_lon double, f_lat double")
+    out = catalog._threatened(w, f)
+    got = [(r.cluster_id, r.facility_id) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert not {"CartesianProduct", "BroadcastNestedLoopJoin"} & set(out._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+    met = ingest.within_wedge(w, f).count()
+    assert met < len(wedges) * len(places) / 2
