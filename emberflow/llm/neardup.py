@@ -14,9 +14,9 @@
 5. Components of these links give the groups of near-duplicates.
 
 Results for odd input: null, empty and blank texts have no shingles and link with nothing, not even each other; fewer
-words than ``width`` make one shingle; rows with a null or repeated id are judged by their text; ties go to the smallest
-id; very long texts are handled alone, whole, and make a block of a cell of their own; an empty table gives an empty
-result; further columns are ignored, whatever their names.
+words than ``width`` make one shingle; rows with a null or repeated id are judged by their text; repeated rows enter a
+cell once; ties go to the smallest id; very long texts are handled alone, whole, and make a block of a cell of their
+own; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,7 +153,8 @@ def _cell_links(size_limit: int, reach: int, threshold: int):
                         one, two = solve(held)
                         yield pa.RecordBatch.from_pydict({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
                     cell, held = (group, low, high), []
-                held.append((key, block, low != high, sig, raw))
+                if not held or held[-1][0] != key:  # rows come in order of block and set
+                    held.append((key, block, low != high, sig, raw))
         if len(held) > 1:
             one, two = solve(held)
             yield pa.RecordBatch.from_pydict({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
@@ -161,6 +162,19 @@ def _cell_links(size_limit: int, reach: int, threshold: int):
     return work
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each set; equal rows share a pick, and so the task that the join by pick sends them to."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for i, key in enumerate(batch.column("set").to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        if new:
+            yield batch if len(new) == batch.num_rows else batch.take(pa.array(new))
+
+
 def _classes(rows: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(marks of all rows, (set, component) of the sets that link with another).  rows: doc_id, pick, text."""
     with scratch() as held:
@@ -178,7 +192,7 @@ def _classes(rows: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Da
 
         def full_sets(batches):
             names = ["set", "group", "blocks", "signature", "block"]
-            for batch, data, offs in text_blocks(batches):
+            for batch, data, offs in text_blocks(_once(batches)):
                 words, first = word_hashes(data, offs, spaced=True)
                 hashes, begin = distinct_shingles(words, first, width)
                 raw = [hashes[begin[i] : begin[i + 1]].tobytes() for i in range(batch.num_rows)]

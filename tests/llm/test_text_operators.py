@@ -102,6 +102,22 @@ def test_suffix_merge_never_compares_known_prefixes():
     assert all(out[i][1] == suffixes.shared_prefix(out[i - 1][0], out[i][0]) for i in range(1, len(out)))
 
 
+def test_repeated_rows_enter_a_cell_once(spark, monkeypatch):
+    """Equal rows, with one id or with many, cost a cell what one does; all of them get the group's id."""
+    one, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(58))
+    rows = [(7, one)] * 3000 + [(i, one) for i in range(10, 40)] + [(3, other), (4, "something else that is here"), (4, "something else that is here")]
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id != 4} == {3} and {r.component_id for r in got if r.doc_id == 4} == {4}
+    assert neardup.one_of_each(frame(spark, rows)).count() == 2
+
+    batch = pa.RecordBatch.from_pydict({"set": [5, 5, 9, 5], "text": ["a", "a", "b", "a"]})
+    assert [b.column("set").to_pylist() for b in neardup._once(iter([batch, batch.slice(1, 2), batch.slice(2, 1)]))] == [[5, 9]]
+    shingles = np.arange(20, dtype=np.uint64).tobytes()
+    cell = {"group": [1] * 5, "low": [0] * 5, "high": [0] * 5, "set": [1, 1, 1, 2, 2], "block": [0] * 5, "signature": [bytes(2 * neardup.SIZE)] * 5, "shingles": [shingles] * 5}
+    links = neardup._cell_links(1 << 20, neardup.REACH, neardup.THRESHOLD)(iter([pa.RecordBatch.from_pydict(cell)]))
+    assert [(x["a"], x["b"]) for b in links for x in b.to_pylist()] == [(1, 2)]
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CELL_BYTES", 2000)
     rng = random.Random(3)
