@@ -91,6 +91,9 @@ SIGMA_Y = {"A": 0.22, "B": 0.16, "C": 0.11, "D": 0.08, "E": 0.06, "F": 0.04}
 RADIATIVE_FRACTION, GRAVITY, AIR_DENSITY, AIR_CP, AMBIENT_K = 0.17, 9.81, 1.2, 1004.0, 293.0
 LATERAL_MULTIPLE, MIN_WIND = 2.146, 0.5
 
+# Corridors and refuges
+WEDGE_STEPS, REFUGE_DISTANCE_M, REFUGE_BEARINGS = 12, 8000.0, 12
+
 # Radiometry (CODATA 2018)
 PLANCK_H, LIGHT_C, BOLTZMANN_K = 6.62607015e-34, 2.99792458e8, 1.380649e-23
 VIIRS_BANDS, MODIS_BANDS = (3.74e-6, 11.45e-6), (3.959e-6, 11.03e-6)
@@ -111,15 +114,15 @@ WORLDCOVER = {"forest": (10, 95), "cropland": (40,), "urban": (50,), "bare": (60
 
 # Emissions: hazard and main substances by facility type; looked up in lower case, so "LNG" falls through to the class
 EMISSIONS = {
-    "refinery": ("high", "SO2,H2S,VOC,benzene,particulates"),
-    "flare": ("moderate", "CO2,CO,NOx,unburnt hydrocarbons,soot"),
-    "oil_well": ("high", "CH4,H2S,VOC,condensate aerosol"),
-    "LNG": ("high", "CH4,cryogenic vapour cloud"),
-    "power": ("moderate", "SO2,NOx,fly ash,particulates,CO"),
-    "steel": ("moderate", "CO,particulates,metal oxides,SO2"),
-    "mine": ("moderate", "CO,particulates,coal smoke,SO2"),
-    "industrial": ("moderate", "particulates,CO,VOC"),
+    "refinery": ("high", ("SO2", "H2S", "VOC", "benzene", "particulates")),
+    "flare": ("moderate", ("CO2", "CO", "NOx", "unburnt hydrocarbons", "soot")),
+    "oil_well": ("high", ("CH4", "H2S", "VOC", "condensate aerosol")),
+    "LNG": ("high", ("CH4", "cryogenic vapour cloud")),
+    "power": ("moderate", ("SO2", "NOx", "fly ash", "particulates", "CO")),
+    "steel": ("moderate", ("CO", "particulates", "metal oxides", "SO2")),
+    "mine": ("moderate", ("CO", "particulates", "coal smoke", "SO2")),
+    "industrial": ("moderate", ("particulates", "CO", "VOC")),
 }
-CLASS_EMISSIONS = {"wildfire": ("moderate", "PM2.5,CO,VOC,NOx"), "agricultural_burning": ("moderate", "PM2.5,CO,CH4,NH3")}
-UNKNOWN_EMISSIONS = ("unknown", "particulates,CO")
+CLASS_EMISSIONS = {"wildfire": ("moderate", ("PM2.5", "CO", "VOC", "NOx")), "agricultural_burning": ("moderate", ("PM2.5", "CO", "CH4", "NH3"))}
+UNKNOWN_EMISSIONS = ("unknown", ("particulates", "CO"))
 SETTLEMENT_EXCESS_M, SAME_SITE_EXCESS_M = 1500.0, 400.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import EARTH_RADIUS_M, METRES_PER_DEGREE
+from ..constants import EARTH_RADIUS_M, METRES_PER_DEGREE, REFUGE_BEARINGS, REFUGE_DISTANCE_M, WEDGE_STEPS
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -46,7 +46,7 @@ def close_ring(ring: Column) -> Column:
     return F.when((F.size(ring) == 0) | (F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1)), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
-def wedge_ring(lon: Column, lat: Column, bearing: Column, length_km: Column, half_angle: Column, steps: int = 12) -> Column:
+def wedge_ring(lon: Column, lat: Column, bearing: Column, length_km: Column, half_angle: Column, steps: int = WEDGE_STEPS) -> Column:
     """Closed ring from the apex along an arc of equal distance; null unless the length and the angle (below 180) are positive."""
 
     def rim(i: Column) -> Column:
@@ -57,7 +57,7 @@ def wedge_ring(lon: Column, lat: Column, bearing: Column, length_km: Column, hal
     return F.when((length_km > 0) & (half_angle > 0) & (half_angle < 180), F.concat(apex, F.transform(F.sequence(F.lit(0), F.lit(steps)), rim), apex))
 
 
-def refuges(lon: Column, lat: Column, ring: Column, distance_m: float = 8000.0, bearings: int = 12) -> Column:
+def refuges(lon: Column, lat: Column, ring: Column, distance_m: float = REFUGE_DISTANCE_M, bearings: int = REFUGE_BEARINGS) -> Column:
     """Points around a place, as struct(bearing, lon, lat), that a hazard's ring does not cover."""
 
     def at(i: Column) -> Column:

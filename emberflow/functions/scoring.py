@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -220,12 +221,12 @@ def emissions(kind: Column, predicted: Column) -> tuple[Column, Column]:
     """(hazard, substances) by facility type, else by class, else unknown."""
     industrial = F.lower(predicted).isin("industrial_fire", "gas_flare", "mining")
 
-    def part(i: int) -> Column:
-        by_type = lookup(F.lower(kind), {k: v[i] for k, v in C.EMISSIONS.items()})
-        by_class = lookup(F.lower(predicted), {k: v[i] for k, v in C.CLASS_EMISSIONS.items()})
-        return F.coalesce(by_type, by_class, F.when(industrial, C.EMISSIONS["industrial"][i]), F.lit(C.UNKNOWN_EMISSIONS[i]))
+    def part(of: Callable[[tuple[str, tuple[str, ...]]], str]) -> Column:
+        by_type = lookup(F.lower(kind), {k: of(v) for k, v in C.EMISSIONS.items()})
+        by_class = lookup(F.lower(predicted), {k: of(v) for k, v in C.CLASS_EMISSIONS.items()})
+        return F.coalesce(by_type, by_class, F.when(industrial, of(C.EMISSIONS["industrial"])), F.lit(of(C.UNKNOWN_EMISSIONS)))
 
-    return part(0), part(1)
+    return part(lambda v: v[0]), part(lambda v: ",".join(v[1]))
 
 
 def same_site(candidate_m: Column, matched_m: Column, excess_m: float) -> Column:

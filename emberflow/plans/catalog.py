@@ -961,9 +961,11 @@ def unprocessed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _emission_sql(i: int) -> str:
-    by_type = " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in C.EMISSIONS.items() if k == k.lower())
-    by_class = " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in C.CLASS_EMISSIONS.items())
-    return f"coalesce(CASE lower(facility_type) {by_type} END, CASE predicted {by_class} WHEN 'industrial_fire' THEN '{C.EMISSIONS['industrial'][i]}' WHEN 'gas_flare' THEN '{C.EMISSIONS['industrial'][i]}' WHEN 'mining' THEN '{C.EMISSIONS['industrial'][i]}' END, '{C.UNKNOWN_EMISSIONS[i]}')"
+    of = lambda v: ",".join(v[1]) if i else v[0]
+    by_type = " ".join(f"WHEN '{k}' THEN '{of(v)}'" for k, v in C.EMISSIONS.items() if k == k.lower())
+    by_class = " ".join(f"WHEN '{k}' THEN '{of(v)}'" for k, v in C.CLASS_EMISSIONS.items())
+    industrial = of(C.EMISSIONS["industrial"])
+    return f"coalesce(CASE lower(facility_type) {by_type} END, CASE predicted {by_class} WHEN 'industrial_fire' THEN '{industrial}' WHEN 'gas_flare' THEN '{industrial}' WHEN 'mining' THEN '{industrial}' END, '{of(C.UNKNOWN_EMISSIONS)}')"
 
 
 @query(_FACTS + f" SELECT cluster_id, {_emission_sql(0)} AS hazard, {_emission_sql(1)} AS substances FROM facts")
