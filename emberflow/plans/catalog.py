@@ -428,14 +428,31 @@ along AS (SELECT *, length_m*i/24 AS d FROM pl4, (SELECT unnest(range(25)) AS i)
 flanks AS (SELECT *, 2.146*{_SY}*d/sqrt(1+1e-4*d) AS w, lat + d*cs/111320.0 AS cy, lon + d*sn/(111320.0*cos(radians(lat))) AS cx FROM along)"""
 
 
-@query(_HALF_WIDTH + """
-SELECT id, cls AS stability, round(length_m,3) AS length_m, round(rise,4) AS plume_rise_m, round(2.146*sy,3) AS half_width_m, round(lat + length_m*cs/111320.0,5) AS tip_lat,
-  round(cy - w*sn/111320.0,5) AS middle_lat, round(cx + w*cs/(111320.0*cos(radians(cy))),5) AS middle_lon FROM flanks WHERE i = 12""")
+def _flank(side: str) -> str:
+    d = "length_m*i/24"
+    w, y = f"{side}2.146*{_SY}*{d}/sqrt(1+1e-4*{d})", f"(lat + {d}*cs/111320.0)"
+    return f"list_transform(range(25), lambda i: struct_pack(lon := lon + {d}*sn/(111320.0*cos(radians(lat))) + {w}*cs/(111320.0*cos(radians({y}))), lat := {y} - {w}*sn/111320.0))"
+
+
+@query(_PLUME + f"""
+, pl4 AS (SELECT *, sin(radians(travel)) AS sn, cos(radians(travel)) AS cs FROM pl3),
+ringed AS (SELECT *, list_concat({_flank("")}, list_reverse({_flank("-")})) AS ring FROM pl4),
+axes AS (SELECT *, list_transform(ring, lambda v: v.lon) AS lons, list_transform(ring, lambda v: v.lat) AS lats FROM ringed)
+SELECT id, cls AS stability, round(length_m,3) AS length_m, round(rise,4) AS plume_rise_m, round(2.146*sy,3) AS half_width_m, len(ring) AS n_points,
+  round((lats[25]+lats[26])/2,5) AS tip_lat, round(lats[13],5) AS middle_lat, round(lons[13],5) AS middle_lon,
+  round(list_min(lons),5) AS west, round(list_min(lats),5) AS south, round(list_max(lons),5) AS east, round(list_max(lats),5) AS north FROM axes""")
 def stability_plume_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stability, rise and extent of every detection's plume: its tip and the right flank halfway."""
+    """Stability, rise and footprint ring of every detection's plume: its vertices, its tip, the right flank halfway and its extent."""
     p, args = _footprints(spark, sf_dir)
-    middle, tip = physics.plume_vertex(*args, F.lit(0.5), 1.0), F.col("lat") + F.col("length_m") * F.col("north") / C.METRES_PER_DEGREE
-    return p.select("id", F.col("cls").alias("stability"), r("length_m", 3).alias("length_m"), r("rise", 4).alias("plume_rise_m"), r("spread", 3).alias("half_width_m"), r(tip, 5).alias("tip_lat"), r(middle["lat"], 5).alias("middle_lat"), r(middle["lon"], 5).alias("middle_lon"))
+    q = p.withColumn("ring", physics.plume_ring(*args))
+    lons, lats = F.col("ring.lon"), F.col("ring.lat")
+    # the flanks' last points lie opposite each other across the tip
+    tip, middle = (F.get(lats, F.lit(24)) + F.get(lats, F.lit(25))) / 2, F.get("ring", F.lit(12))
+    return q.select(
+        "id", F.col("cls").alias("stability"), r("length_m", 3).alias("length_m"), r("rise", 4).alias("plume_rise_m"), r("spread", 3).alias("half_width_m"), F.size("ring").cast("long").alias("n_points"),
+        r(tip, 5).alias("tip_lat"), r(middle["lat"], 5).alias("middle_lat"), r(middle["lon"], 5).alias("middle_lon"),
+        r(F.array_min(lons), 5).alias("west"), r(F.array_min(lats), 5).alias("south"), r(F.array_max(lons), 5).alias("east"), r(F.array_max(lats), 5).alias("north"),
+    )
 
 
 def _footprints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:

@@ -92,6 +92,16 @@ def test_ring_is_made_of_its_vertices(spark):
         assert list(ring.seq) == list(range(50)) and ring.lon.iloc[0] == ring.lon.iloc[49] and ring.lat.iloc[0] == ring.lat.iloc[49]
 
 
+def test_plumes_are_described_by_all_vertices(spark):
+    """A plume's points, extent, tip and half of its right flank are those of its whole ring."""
+    names = ["id", "n_points", "west", "south", "east", "north", "middle_lon", "middle_lat"]
+    rings = catalog.QUERIES["plume_rings"](spark, SF)
+    half = [F.max(F.when(F.col("seq") == 12, F.col(c))) for c in ("lon", "lat")]
+    want = rings.groupBy("id").agg(F.count("*"), F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat"), *half).toDF(*names)
+    got = catalog.QUERIES["stability_plume_geometry"](spark, SF).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_calibration_covers(spark):
     got = catalog.QUERIES["walk_forward_calibration"](spark, SF).toPandas()
     assert len(got) and got.coverage_90.between(0, 1).all() and (got.coverage_90 >= got.coverage_50).all()
