@@ -369,3 +369,18 @@ def test_runs_count_each_seed_within_once():
     index, place = passages._within(at, width, np.array([True, False, False, True, False]), 4)
     assert place.tolist() == [0, 1, 2, 3, 4, 5, 10, *range(3, 16)]
     assert index.tolist() == [0] * 5 + [1, 2] + [3] + [4] * 12
+
+
+def test_a_lot_of_many_links_is_chained_in_pieces(monkeypatch):
+    """Some pairs at a time, so that a worker's memory doesn't grow with the lot; the chains are the same."""
+    links = [(rid, partner, x, x + partner) for rid in range(20, 30) for partner in range(10) for x in range(30)]
+    rid, partner, at, other = (np.array(x) for x in zip(*links, strict=True))
+    batch = pa.RecordBatch.from_pylist([
+        {"lot": 3, "width": 4, "rids": rid[::30].astype("<i8").tobytes(), "partners": partner[::30].astype("<i8").tobytes(), "counts": np.full(100, 30, "<i4").tobytes(), "at": at.astype("<i4").tobytes(), "other": other.astype("<i4").tobytes()}
+    ])
+    chained = lambda: [b.to_pylist() for b in passages._link_chains(4, 5, 24)([batch])]
+    (whole,) = chained()
+    monkeypatch.setattr(passages, "LINKS", 600)
+    pieces = chained()
+    assert len(whole) == 100 and max(map(len, pieces)) < 50
+    assert sorted((c for piece in pieces for c in piece), key=str) == sorted(whole, key=str)
