@@ -384,3 +384,21 @@ def test_a_lot_of_many_links_is_chained_in_pieces(monkeypatch):
     pieces = chained()
     assert len(whole) == 100 and max(map(len, pieces)) < 50
     assert sorted((c for piece in pieces for c in piece), key=str) == sorted(whole, key=str)
+
+
+@pytest.mark.parametrize("every", [4, 6])
+def test_passages_of_common_seeds_only_are_in_one_class(spark, every):
+    """Two texts share a passage without long runs, whose seeds over 32 texts each hold and none of them more than a line:
+    they are in one class, the others alone."""
+    rng = random.Random(every)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    # a changed word after each few, so that the runs of the two are short
+    copy = [f"x{i}" if i % (every + 1) == every else w for i, w in enumerate(passage)]
+    rows = [(i, " ".join(text(20) + words + text(20))) for i, words in ((1000, passage), (1001, copy))]
+    for i in range(400):
+        begin = rng.randrange(0, 45)
+        rows.append((i, " ".join(text(20) + passage[begin : begin + 15] + text(20))))
+    got = passages.shared_passages(frame(spark, rows)).collect()
+    assert {frozenset((r.doc_id, r.partner_id)) for r in got} == {frozenset((1000, 1001))}
+    assert {r.class_id for r in got} == {1000}
