@@ -402,3 +402,43 @@ def test_passages_of_common_seeds_only_are_in_one_class(spark, every):
     got = passages.shared_passages(frame(spark, rows)).collect()
     assert {frozenset((r.doc_id, r.partner_id)) for r in got} == {frozenset((1000, 1001))}
     assert {r.class_id for r in got} == {1000}
+
+
+def _profile(rid, component, seed, at):
+    body = pa.compress(passages._planes(seed, 6) + passages._planes(at, 4), "zstd", asbytes=True)
+    return {"rid": rid, "component": component, "n": len(seed), "body": body}
+
+
+class _Marks:
+    value = np.full(1 << (passages.MARK_BITS - 6), 2**64 - 1, np.uint64)
+
+
+def test_a_repeated_line_gives_each_pair_of_seeds_once():
+    """Two texts that repeat a line 400 times are one candidate pair, once for each key, not once for each pair of places."""
+    line = passages.mix(np.arange(1, 31, dtype=np.uint64)) >> np.uint64(16)
+    seed, at = np.tile(line, 400), np.arange(12000)
+    profiles = pa.RecordBatch.from_pylist([_profile(7, 1, seed, at), _profile(9, 2, seed, at)])
+    packed = [r for b in passages._packed_twos(1, 20, 76, _Marks, _Marks)([profiles]) for r in b.to_pylist()]
+    held = [passages._unpacked(r, ids=2) for r in packed]
+    keys = {(key, rid) for seed, ids, _ in held for key, rid in zip(seed.tolist(), ids[:, 0].tolist(), strict=True)}
+    assert sum(r["n"] for r in packed) == len(keys) == 2 * 30 * 30
+    pairs = [r for b in passages._two_pairs(packed) for r in b.to_pylist()]
+    assert {(r["rid"], r["partner"]) for r in pairs} == {(9, 7)}
+    assert len(pairs) <= 900
+
+
+def test_a_key_that_a_text_repeats_meets_others_once():
+    """Also if a text's places come from several rows: 3000 places in each of two texts are one pair."""
+    ids = np.repeat(np.array([[7, 1], [9, 2]]), 3000, axis=0)
+    (pairs,) = passages._apart(np.zeros(6000, np.uint64), ids)
+    assert pairs.tolist() == [[9], [7]]
+
+
+def test_pairs_whose_words_rule_out_a_passage_are_left_unchained():
+    """Of 40 words in a row 32 have to stand in the other text; what is among other words can't hold a passage."""
+    words = np.arange(200, dtype=np.uint32)
+    among = lambda n: np.unique(np.concatenate([words[50 : 50 + n], [1000, 1001]])).astype(np.uint32)
+    assert passages._may_hold(words, among(32), 40, 0.8)
+    assert not passages._may_hold(words, among(31), 40, 0.8)
+    assert passages._may_hold(words, np.delete(words, slice(60, 200, 5)), 40, 0.8)
+    assert not passages._may_hold(words[:39], words, 40, 0.8)
