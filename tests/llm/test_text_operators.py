@@ -442,3 +442,12 @@ def test_pairs_whose_words_rule_out_a_passage_are_left_unchained():
     assert not passages._may_hold(words, among(31), 40, 0.8)
     assert passages._may_hold(words, np.delete(words, slice(60, 200, 5)), 40, 0.8)
     assert not passages._may_hold(words[:39], words, 40, 0.8)
+
+
+def test_seeds_of_several_components_are_told_whole():
+    """Two seeds of one mark that a component each holds are none of several; one that two components hold is."""
+    seed = np.array([5 << 22, (5 << 22) + 1, 9 << 22], np.uint64)
+    profiles = pa.RecordBatch.from_pylist([_profile(1, 1, seed[[0, 2]], np.array([0, 30])), _profile(2, 2, seed[[1, 2]], np.array([0, 30])), _profile(3, 2, seed[[1]], np.array([0]))])
+    packed = [r for b in passages._packed_held(1)([profiles]) for r in b.to_pylist()]
+    (words,) = passages._several_marks(packed)
+    assert words.to_pylist() == [{"slot": 0, "bits": 1 << 9}]
