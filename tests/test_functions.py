@@ -127,3 +127,18 @@ def test_within_radius_at_any_latitude(spark, radius_m):
     distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
     want = {(r.a, r.b) for r in points.crossJoin(other).where(distance <= radius_m).select("a", "b").collect()}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_within_radius_beyond_the_poles(spark):
+    """Latitudes that go on over the pole are met as the distance has them, and near a pole a facility has a few cells."""
+    spots = [(float(x), y + d) for x in (70.0, 71.5, 250.0) for y in (60.0, 89.5, 90.0, 120.0, 269.99, 450.0, 1208.0) for d in (0.0, 0.004)]
+    p = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "a int, lon double, lat double")
+    f = spark.createDataFrame([(i, x, y + 0.002) for i, (x, y) in enumerate(spots)], "b int, f_lon double, f_lat double")
+    apart = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
+    want = sorted(map(tuple, p.crossJoin(f).where(apart <= 1000.0).select("a", "b").collect()))
+    found = ingest.within_radius(p, f, 1000.0).select("a", "b")
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 84
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    poles = spark.range(1000).selectExpr("id AS b", "70.0D AS f_lon", "89.9 + id % 300 AS f_lat")
+    assert ingest.placed_around(poles, 1000.0).count() < 40_000
