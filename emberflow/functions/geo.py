@@ -99,6 +99,11 @@ def ring_area_km2(ring: Column) -> Column:
     return F.abs(cross) / 2 * (METRES_PER_DEGREE / 1000) * (METRES_PER_DEGREE / 1000) * F.cos(F.radians(mean))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Halves go away from zero after the shift, as SQL engines over doubles round: 64.000025 is 6400002.499... there."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
@@ -118,4 +123,5 @@ def buffer_m(extent_km: Column, default: float = 1000.0) -> Column:
 def tile_name(lon: Column, lat: Column, degrees: int = 3) -> Column:
     """Name of the land-cover tile by its south-west corner, like N27E075."""
     south, west = (F.floor(lat / degrees) * degrees).cast("int"), (F.floor(lon / degrees) * degrees).cast("int")
-    return F.concat(F.when(south >= 0, "N").otherwise("S"), F.lpad(F.abs(south).cast("string"), 2, "0"), F.when(west >= 0, "E").otherwise("W"), F.lpad(F.abs(west).cast("string"), 3, "0"))
+    padded = lambda x, n: F.lpad(F.abs(x).cast("string"), F.greatest(F.length(F.abs(x).cast("string")), F.lit(n)), F.lit("0"))  # noqa: E731  lpad alone cuts longer ones
+    return F.concat(F.when(south >= 0, "N").otherwise("S"), padded(south, 2), F.when(west >= 0, "E").otherwise("W"), padded(west, 3))

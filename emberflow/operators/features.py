@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import detection, geo, physics
+from ..sources.views import with_means
 
 
 def thermal(points: DataFrame) -> DataFrame:
@@ -72,7 +73,8 @@ def trajectory(points: DataFrame, hours: float = 12.0, buckets: int = 6) -> Data
     """Direction and rate of advance over the last buckets of ``hours``, counted from a cluster's first detection."""
     start = F.min(F.unix_micros("acq_datetime")).over(Window.partitionBy("cluster_id"))
     dated = points.withColumn("bucket", F.floor((F.unix_micros("acq_datetime") - start) / (hours * 3.6e9)))
-    centres = dated.groupBy("cluster_id", "bucket").agg(F.min(F.unix_micros("acq_datetime")).alias("t"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    centred = with_means(dated.select("cluster_id", "bucket", "id", "acq_datetime", "lon", "lat"), ["cluster_id", "bucket"], ["lon", "lat"])
+    centres = centred.groupBy("cluster_id", "bucket").agg(F.min(F.unix_micros("acq_datetime")).alias("t"), F.first("lon").alias("lon"), F.first("lat").alias("lat"))
     recent = centres.withColumn("back", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("bucket")))).where(F.col("back") <= buckets)
     w = Window.partitionBy("cluster_id").orderBy("bucket")
     legs = recent.withColumn("leg_m", geo.haversine_m(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))).withColumn("b", geo.bearing_deg(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")))

@@ -33,7 +33,7 @@ def query(oracle: str | None = None, ctes: bool = True):
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    return F.round(c, digits)
+    return geo.rounded(F.col(c) if isinstance(c, str) else c, digits)
 
 
 _HAV = "2*6371000.0*asin(sqrt(pow(sin(radians({b1}-{a1})/2),2)+cos(radians({a1}))*cos(radians({b1}))*pow(sin(radians({b0}-{a0})/2),2)))"
@@ -852,7 +852,7 @@ cells AS (SELECT cluster_id, gx, gy, {_GRID_CODE} AS code, CASE WHEN (gx*31+gy*1
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 x 5 grid cells around each cluster, joined with a raster kept as a table of cells."""
-    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", geo.cell(F.round("lon", 6), 0.01).alias("cx"), geo.cell(F.round("lat", 6), 0.01).alias("cy"))  # sums of any order, one cell
+    s = views.sites(views.detections(spark, sf_dir)).select("cluster_id", geo.cell(r("lon"), 0.01).alias("cx"), geo.cell(r("lat"), 0.01).alias("cy"))  # sums of any order, one cell
     step = F.sequence(F.lit(-2), F.lit(2))
     wanted = s.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("cluster_id", (F.col("cx") + F.col("dx")).alias("gx"), (F.col("cy") + F.col("dy")).alias("gy"))
     codes = F.array(*map(F.lit, (10, 20, 40, 50, 60, 80, 90, 95)))

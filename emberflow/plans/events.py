@@ -126,7 +126,7 @@ FROM facts f JOIN vr USING (cluster_id) JOIN sites s ON s.cluster_id = f.cluster
 def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters with a label that is settled, with their place and tile: what training may use."""
     v = k._voted(spark, sf_dir).withColumn("won", scoring.resolved(F.col("votes"))).where("won is not null")
-    tile = lambda c: geo.cell(F.round(c, 6), 0.5).cast("double")
+    tile = lambda c: geo.cell(r(c), 0.5).cast("double")
     return v.select("cluster_id", F.col("won.label").alias("label"), r("won.confidence", 2).alias("confidence"), r("lon", 5).alias("lon"), r("lat", 5).alias("lat"), tile("lon").alias("tile_x"), tile("lat").alias("tile_y"))
 
 

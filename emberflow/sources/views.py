@@ -6,9 +6,11 @@ without running the clustering itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,9 +57,20 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_means(points: DataFrame, keys: list[str], columns: list[str], order: str = "id") -> DataFrame:
+    """The points with the means of a group's ``columns`` in their place, summed in the order of ``order``.
+
+    A sum's last bits depend on its order, and so does the side of a cell's edge on which a mean lies; in this order it
+    doesn't matter how rows were dealt to tasks.  A group's rows are streamed, and spilled if need be.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return points.withColumns({c: F.avg(c).over(w) for c in columns})
+
+
 def sites(points: DataFrame) -> DataFrame:
     """One row for each cluster: centroid, first and last detection, count."""
-    return points.groupBy("cluster_id").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.min("acq_datetime").alias("first_seen"), F.max("acq_datetime").alias("last_seen"), F.count("*").alias("n_detections"), F.max("frp").alias("frp_max"), F.max("brightness").alias("brightness_max"))
+    known = with_means(points.select("cluster_id", "id", "lon", "lat", "acq_datetime", "frp", "brightness"), ["cluster_id"], ["lon", "lat"])
+    return known.groupBy("cluster_id").agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"), F.min("acq_datetime").alias("first_seen"), F.max("acq_datetime").alias("last_seen"), F.count("*").alias("n_detections"), F.max("frp").alias("frp_max"), F.max("brightness").alias("brightness_max"))
 
 
 def weather(points: DataFrame) -> DataFrame:
@@ -78,7 +91,7 @@ BLOCK = 8
 def _around(places: DataFrame, step: float, reach: int) -> DataFrame:
     """Distinct grid cells (ix, iy) around places."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    at = places.select(F.floor(F.round("lon", 6) / step).cast("long").alias("x"), F.floor(F.round("lat", 6) / step).cast("long").alias("y")).distinct()
+    at = places.select(F.floor(geo.rounded(F.col("lon"), 6) / step).cast("long").alias("x"), F.floor(geo.rounded(F.col("lat"), 6) / step).cast("long").alias("y")).distinct()
     wide = at.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
     return wide.select((F.col("x") + F.col("dx")).alias("ix"), (F.col("y") + F.col("dy")).alias("iy")).distinct()
 

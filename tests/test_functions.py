@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from emberflow import constants as C
 from emberflow.functions import detection, geo, physics, scoring
 from emberflow.operators import ingest, state, temporal
+from emberflow.sources import views
 
 
 def value(spark, column):
@@ -142,3 +143,28 @@ def test_within_radius_beyond_the_poles(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     poles = spark.range(1000).selectExpr("id AS b", "70.0D AS f_lon", "89.9 + id % 300 AS f_lat")
     assert ingest.placed_around(poles, 1000.0).count() < 40_000
+
+
+def test_tiles_beyond_two_digits(spark):
+    assert value(spark, geo.tile_name(F.lit(72.5), F.lit(104.9))) == "N102E072"
+    assert value(spark, geo.tile_name(F.lit(72.5), F.lit(1500.5))) == "N1500E072"
+
+
+def test_halves_are_rounded_as_sql_does(spark):
+    assert value(spark, geo.rounded(F.lit(64.000025), 5)) == 64.00002 and value(spark, geo.rounded(F.lit(-2.5), 0)) == -3.0
+
+
+def test_means_do_not_depend_on_tasks(spark):
+    """A centroid is summed in the order of ids, however the rows are dealt: its last bits decide on which side of an edge it lies."""
+    rng = random.Random(3)
+    lats = {c: [27.0 + rng.randint(-2, 2) / 1e3 for _ in range(120)] for c in range(40)}
+    rows = [(c, i * 40 + c, 70.0, y) for c, own in lats.items() for i, y in enumerate(own)]
+    points = spark.createDataFrame(rows, "cluster_id long, id long, lon double, lat double").selectExpr("*", "timestamp '2024-01-01' acq_datetime", "1D frp", "1D brightness")
+    want = {}
+    for c, own in lats.items():
+        total = 0.0
+        for y in own:
+            total += y
+        want[c] = total / 120
+    for dealt in (points.coalesce(1), points.orderBy("lat").repartition(7)):
+        assert {r.cluster_id: r.lat for r in views.sites(dealt).collect()} == want
