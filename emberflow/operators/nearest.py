@@ -6,6 +6,9 @@ farthest corners of occupied cells there is a distance that the nearest target c
 lowest level whose ring is sure to cover that distance and goes down; on each level cells stay whose nearest edge is not
 beyond the least farthest corner.  Targets are met in the few cells of level 0 that are left, so that neither a dense
 town nor an empty country makes a point meet many of them.  Longitudes go round at 180 degrees.
+
+Near the poles the cells' widths say little; points there meet all targets within the radius.  Latitudes beyond 90 degrees go
+on over the pole, as they do in the distance.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geo
-from .ingest import _staged
+from .ingest import _staged, within_radius
 
 #: Cells around the globe on level 0, as a power of 2.
 BITS = 17
@@ -61,14 +64,18 @@ def _guaranteed(level: int) -> Column:
 
 def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str = "key", target_id: str = "target_id", max_lat: float = 75.0) -> DataFrame:
     """Points (key, lon, lat) with their nearest target (target_id, t_lon, t_lat) within ``radius_m``, its distance_m and
-    bearing; of equal distances the smallest id.  Points without one, or beyond ``max_lat`` degrees, don't appear."""
+    bearing; of equal distances the smallest id.  Points without one don't appear.  Beyond ``max_lat`` degrees there are no
+    rings of cells."""
     levels = max(1, math.ceil(math.log2(radius_m / (SAFE * _METRES * _SIZE * math.cos(math.radians(max_lat + 1.0))))) + 1)
     if levels > BITS - 2:
         raise ValueError("the radius is too large for rings of cells")
+    x, lat = geo.folded(F.col("lon"), F.col("lat"))
+    every = points.where("lon is not null and lat is not null").select(F.struct(F.col(key).alias("key"), "lon", "lat").alias("key"), (x - 180.0).alias("lon"), lat.alias("lat"))
     # staged: every level reads them
-    own = _staged(points.where(F.abs("lat") <= max_lat).select(F.col(key).alias("key"), "lon", "lat"))
-    tx, ty = _cell(F.col("t_lon"), F.col("t_lat"), 0)
-    placed = _staged(targets.where(F.col("t_lon").isNotNull() & F.col("t_lat").isNotNull()).select(F.col(target_id).alias("target_id"), "t_lon", "t_lat", tx.alias("cx"), ty.alias("cy")))
+    own = _staged(every.where(F.abs("lat") <= max_lat))
+    tx, ty = geo.folded(F.col("t_lon"), F.col("t_lat"))
+    cx, cy = _cell(tx - 180.0, ty, 0)
+    placed = _staged(targets.where(F.col("t_lon").isNotNull() & F.col("t_lat").isNotNull()).select(F.col(target_id).alias("target_id"), "t_lon", "t_lat", cx.alias("cx"), cy.alias("cy")))
     up = F.array(*[F.struct(F.lit(q).alias("level"), F.shiftright("cx", q).alias("cx"), F.shiftright("cy", q).alias("cy")) for q in range(levels)])
     occupied = _staged(placed.select("cx", "cy").distinct().select(F.explode(up).alias("c")).select("c.*").distinct())
 
@@ -98,8 +105,12 @@ def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str = "
         # a point has a few cells of a level
         least = F.least("reach", F.min("high").over(Window.partitionBy("key", "lon", "lat")))
         left = here.withColumn("reach", least).where(F.col("low") <= F.col("reach")).select("key", "lon", "lat", "reach", "cx", "cy")
-    distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))
-    pairs = left.join(placed, ["cx", "cy"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
-    best = pairs.groupBy("key", "lon", "lat").agg(F.min(F.struct("distance_m", "target_id", "t_lon", "t_lat")).alias("b"))
-    named = best.select(F.col("key").alias(key), "lon", "lat", "b.*")
+    distance = geo.haversine_m(F.col("key.lon"), F.col("key.lat"), F.col("t_lon"), F.col("t_lat"))
+    pairs = left.join(placed, ["cx", "cy"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select("key", "distance_m", "target_id", "t_lon", "t_lat")
+    beyond = every.where(F.abs("lat") > max_lat).select("key", "key.lon", "key.lat")
+    _, south = geo.folded(F.col("t_lon"), F.col("t_lat"))
+    high = placed.where(F.abs(south) > max_lat - math.degrees(radius_m / C.EARTH_RADIUS_M) - 1.0).select("target_id", F.col("t_lon").alias("f_lon"), F.col("t_lat").alias("f_lat"))
+    pairs = pairs.unionByName(within_radius(beyond, high, radius_m).select("key", "distance_m", "target_id", F.col("f_lon").alias("t_lon"), F.col("f_lat").alias("t_lat")))
+    best = pairs.groupBy("key").agg(F.min(F.struct("distance_m", "target_id", "t_lon", "t_lat")).alias("b"))
+    named = best.select(F.col("key.key").alias(key), "key.lon", "key.lat", "b.*")
     return named.withColumn("bearing", geo.bearing_deg(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))).withColumnRenamed("target_id", target_id)

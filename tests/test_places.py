@@ -39,6 +39,23 @@ def test_nearest_equals_all_pairs(spark, radius):
     assert nearest.nearest(p, t.limit(0), radius).count() == 0
 
 
+def test_nearest_at_any_latitude(spark):
+    """Near and over the poles, and at latitudes that go on beyond 90 degrees."""
+    rng = random.Random(11)
+    lats = [74.9, 80.0, 85.5, 89.9, 90.0, 90.1, 120.0, 158.0, 270.0, 300.0, 1208.0, -89.95]
+    draw = lambda y: (75.0 + rng.uniform(-0.3, 0.3), y + rng.uniform(-0.1, 0.1))
+    points = [(i, *draw(y)) for i, y in enumerate(lats * 6)]
+    targets = [(i, *draw(y)) for i, y in enumerate(lats * 12)]
+    got = nearest.nearest(spark.createDataFrame(points, "key long, lon double, lat double"), spark.createDataFrame(targets, "target_id long, t_lon double, t_lat double"), 10_000.0)
+    found = {r["key"]: (r["lon"], r["lat"], r["target_id"]) for r in got.collect()}
+    want = {}
+    for key, *at in points:
+        m, i = min((metres(at, to), i) for i, *to in targets)
+        if m <= 10_000.0:
+            want[key] = (*at, i)
+    assert found == want and len(want) > 60
+
+
 def dijkstra(edges, source, radius):
     """Distance and least path of every node in reach."""
     out = {}
