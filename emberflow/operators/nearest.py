@@ -71,7 +71,7 @@ def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str = "
         raise ValueError("the radius is too large for rings of cells")
     x, lat = geo.folded(F.col("lon"), F.col("lat"))
     every = points.where("lon is not null and lat is not null").select(F.struct(F.col(key).alias("key"), "lon", "lat").alias("key"), (x - 180.0).alias("lon"), lat.alias("lat"))
-    # staged: every level reads them
+    # staged: every level reads them; cells and targets may be many more than Spark takes them for, so none are broadcast
     own = _staged(every.where(F.abs("lat") <= max_lat))
     tx, ty = geo.folded(F.col("t_lon"), F.col("t_lat"))
     cx, cy = _cell(tx - 180.0, ty, 0)
@@ -87,7 +87,7 @@ def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str = "
     size = F.lit(_SIZE) * F.pow(F.lit(2.0), F.col("level"))
     around = own.select("key", "lon", "lat", F.explode(F.flatten(F.array(*map(ring, range(levels))))).alias("c")).select("key", "lon", "lat", "c.*")
     low, high = _bounds(size)
-    met = around.join(occupied, ["level", "cx", "cy"]).withColumn("high", high)
+    met = around.join(occupied.hint("merge"), ["level", "cx", "cy"]).withColumn("high", high)
     reach = met.groupBy("key", "lon", "lat").agg(F.least(F.min("high"), F.lit(radius_m)).alias("reach"))
     start = F.lit(levels - 1)
     for q in reversed(range(levels - 1)):
@@ -101,12 +101,12 @@ def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str = "
             children = F.array(*[F.struct((F.col("cx") * 2 + a).alias("cx"), (F.col("cy") * 2 + b).alias("cy")) for a in (0, 1) for b in (0, 1)])
             begun = begun.unionByName(left.select("key", "lon", "lat", "reach", F.explode(children).alias("c")).select("key", "lon", "lat", "reach", "c.cx", "c.cy"))
         low, high = _bounds(F.lit(_SIZE * 2**q))
-        here = begun.join(occupied.where(F.col("level") == q).select("cx", "cy"), ["cx", "cy"]).withColumns({"low": low, "high": high})
+        here = begun.join(occupied.where(F.col("level") == q).select("cx", "cy").hint("merge"), ["cx", "cy"]).withColumns({"low": low, "high": high})
         # a point has a few cells of a level
         least = F.least("reach", F.min("high").over(Window.partitionBy("key", "lon", "lat")))
         left = here.withColumn("reach", least).where(F.col("low") <= F.col("reach")).select("key", "lon", "lat", "reach", "cx", "cy")
     distance = geo.haversine_m(F.col("key.lon"), F.col("key.lat"), F.col("t_lon"), F.col("t_lat"))
-    pairs = left.join(placed, ["cx", "cy"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select("key", "distance_m", "target_id", "t_lon", "t_lat")
+    pairs = left.join(placed.hint("merge"), ["cx", "cy"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select("key", "distance_m", "target_id", "t_lon", "t_lat")
     beyond = every.where(F.abs("lat") > max_lat).select("key", "key.lon", "key.lat")
     _, south = geo.folded(F.col("t_lon"), F.col("t_lat"))
     high = placed.where(F.abs(south) > max_lat - math.degrees(radius_m / C.EARTH_RADIUS_M) - 1.0).select("target_id", F.col("t_lon").alias("f_lon"), F.col("t_lat").alias("f_lat"))

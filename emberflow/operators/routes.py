@@ -21,7 +21,9 @@ from .ingest import _staged
 def shortest_paths(sources: DataFrame, edges: DataFrame, radius: int, delta: int, rounds: int = 10_000) -> DataFrame:
     """(source, node, distance, path) of all nodes within ``radius`` of each source (a node), over directed edges
     (a, b, weight)."""
-    roads = _staged(edges.where("weight >= 0 and a <> b").groupBy("a", "b").agg(F.min("weight").cast("long").alias("weight")))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt and sorted once for the rounds' joins, and never broadcast: Spark takes derived networks for smaller than they are
+    roads = _staged(edges.where("weight >= 0 and a <> b").groupBy("a", "b").agg(F.min("weight").cast("long").alias("weight")).repartition(parts, "a").sortWithinPartitions("a"))
     heavy = bool(roads.agg(F.coalesce(F.max("weight"), F.lit(0)) > delta).first()[0])
     zero = F.lit(0).cast("long")
     now = _staged(sources.where("source IS NOT NULL").select("source").distinct().select("source", F.col("source").alias("node"), zero.alias("distance"), F.array("source").alias("path"), F.lit(True).alias("light"), F.lit(heavy).alias("heavy")))
@@ -34,7 +36,7 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, radius: int, delta: int
         inside = F.floor(F.col("distance") / delta) == waiting["bucket"]
         weight = F.col("weight") > delta if waiting["rests"] else F.col("weight") <= delta
         moving = now.where(inside & F.col(kind))
-        reached = moving.join(roads.where(weight), F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.concat("path", F.array("b")).alias("path"), F.lit(True).alias("light"), F.lit(heavy).alias("heavy"))
+        reached = moving.join(roads.where(weight).hint("merge"), F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.concat("path", F.array("b")).alias("path"), F.lit(True).alias("light"), F.lit(heavy).alias("heavy"))
         rested = now.withColumn(kind, F.col(kind) & ~inside)
         every = rested.unionByName(reached.where(F.col("distance") <= radius))
         # the best of the old row and the new ones: equal rows keep the old one's marks, as false comes first
@@ -45,4 +47,4 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, radius: int, delta: int
 def shortest_routes(trips: DataFrame, edges: DataFrame, radius: int, delta: int) -> DataFrame:
     """Trips (source, target: nodes, further columns) with distance and path; null where the target isn't in reach."""
     found = shortest_paths(trips.select("source"), edges, radius, delta)
-    return trips.join(found.withColumnRenamed("node", "target"), ["source", "target"], "left")
+    return trips.join(found.withColumnRenamed("node", "target").hint("merge"), ["source", "target"], "left")

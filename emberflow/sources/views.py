@@ -108,7 +108,7 @@ def roads(places: DataFrame) -> DataFrame:
     to = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("ix") + x).alias("jx"), (F.col("iy") + y).alias("jy")) for d, x, y in ((0, 1, 0), (1, 0, 1))]))
     one = n.select(F.col("target_id").alias("a"), "ix", "iy", to.alias("e")).where((F.col("ix") * 3 + F.col("iy") * 5 + F.col("e.d")) % 9 != 0)
     one = one.select("a", (F.col("e.jx") * 100_000 + F.col("e.jy")).alias("b"), (2000 + (F.col("ix") * 13 + F.col("iy") * 29 + F.col("e.d") * 7) % 700).alias("weight"))
-    one = one.join(n.select(F.col("target_id").alias("b")), "b", "left_semi").select("a", "b", "weight")
+    one = one.join(n.select(F.col("target_id").alias("b")).hint("merge"), "b", "left_semi").select("a", "b", "weight")
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from emberflow.operators import nearest, routes
+from emberflow.sources import views
 
 
 def metres(a, b):
@@ -90,3 +91,11 @@ def test_routes_equal_a_search_with_a_heap(spark, delta):
     every = routes.shortest_paths(spark.createDataFrame([(s,) for s in range(0, 60, 7)], "source long"), table, 25, delta).collect()
     want = {(s, n): v for s in range(0, 60, 7) for n, v in dijkstra(edges, s, 25).items()}
     assert {(r["source"], r["node"]): (r["distance"], tuple(r["path"])) for r in every} == want
+
+
+def test_networks_are_not_broadcast(spark):
+    """Copies around places are many more than the places, whose size is what Spark knows."""
+    at = spark.createDataFrame([(75.0, 20.0), (75.5, 20.5)], "lon double, lat double")
+    for df in (views.roads(at), nearest.nearest(at.selectExpr("1L key", "*"), views.road_nodes(at), 4000.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
